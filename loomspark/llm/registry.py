@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from loomspark.llm.matroska import op8_matroska
+from loomspark.llm.packing import op4_hierarchical_packing
 from loomspark.llm.sharding import op6_feistel_shards
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_feistel_shards,)}
+    return {f.__name__: f for f in (op4_hierarchical_packing, op6_feistel_shards, op8_matroska)}
 
 
 def oracle_sql() -> dict:
