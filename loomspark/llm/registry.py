@@ -5,10 +5,11 @@ from __future__ import annotations
 from loomspark.llm.matroska import op8_matroska
 from loomspark.llm.packing import op4_hierarchical_packing
 from loomspark.llm.sharding import op6_feistel_shards
+from loomspark.llm.toxicity import op10_toxicity_knn
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_hierarchical_packing, op6_feistel_shards, op8_matroska)}
+    return {f.__name__: f for f in (op4_hierarchical_packing, op6_feistel_shards, op8_matroska, op10_toxicity_knn)}
 
 
 def oracle_sql() -> dict:
