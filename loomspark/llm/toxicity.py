@@ -2,8 +2,9 @@
 
 Labelled rows whose crc32 of the id is 0 modulo ``FOLDS`` are held out and never learnt from. Of the
 others at most ``MAX_EXAMPLES`` (the smallest by a hash of the id) are gathered as examples. Terms are
-lower-cased words and their beginnings of ``STEMS`` letters; the vocabulary keeps those whose presence is
-associated with the label by chi-square of at least ``MIN_CHI2``. Weights are (1 + ln tf) * idf, scaled to
+lower-cased words and their beginnings of ``STEMS`` letters, and each of these again, marked, where it makes
+up at least 1 / ``DENSE`` of the words; the vocabulary keeps those whose presence is associated with the label
+by chi-square of at least ``MIN_CHI2`` and ``MIN_PHI2`` an example, unless a stem or the other grade tells at least as much. Weights are (1 + ln tf) * idf, scaled to
 unit length. The index holds, for each term, postings in blocks of ``BLOCK`` examples and the largest
 weight of each block. A text's nearest ``K`` examples are exact: blocks are visited by falling upper
 bound, until the bound is below the K-th best similarity. Votes weigh by squared similarity against a
@@ -36,8 +37,10 @@ from loomspark.session import table
 FOLDS = 5
 MAX_EXAMPLES = 12_000
 MIN_CHI2 = 30.0
-MIN_DOCS = 3
+MIN_PHI2 = 0.02  # least chi-square over the number of examples
+MIN_DOCS = 4
 STEMS = (4, 5)
+DENSE = 128
 BLOCK = 64
 K = 15
 PRIOR_WEIGHT = 0.5
@@ -49,14 +52,44 @@ def words_of(text: str | None) -> Counter:
     return Counter(_word.findall((text or "").lower()))
 
 
-def terms_of(words: Counter) -> Counter:
-    """Words, and beginnings of words marked with their length."""
-    out = Counter(words)
+def stems_of(word: str) -> list[str]:
+    """A word's beginnings, marked with their length, shortest first."""
+    return [f"{k}:{word[:k]}" for k in STEMS if len(word) > k]
+
+
+def graded(tf: dict[str, int], total: int) -> list[str]:
+    """The terms that make up at least 1 / ``DENSE`` of a text's words, marked as dense."""
+    return [t + "^" for t, n in tf.items() if n * DENSE >= total]
+
+
+def terms_of(words: Counter) -> set[str]:
+    """A text's words and stems, and which of them are dense."""
+    tf = Counter(words)
     for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                out[f"{k}:{w[:k]}"] += n
-    return out
+        for t in stems_of(w):
+            tf[t] += n
+    return {*tf, *graded(tf, words.total())}
+
+
+def select(df: Counter, df1: Counter, n: int, pos: int, min_chi2: float) -> dict[str, float]:
+    """The terms associated with the label, by chi-square; a term goes where its stem or its other grade says as much."""
+    chi2 = {}
+    for t, d in df.items():
+        if d >= MIN_DOCS:
+            a, b = df1[t], d - df1[t]
+            c, e = pos - a, n - pos - b
+            x = n * (a * e - b * c) ** 2 / max(1, (a + b) * (c + e) * pos * (n - pos))
+            if x >= max(min_chi2, MIN_PHI2 * n):
+                chi2[t] = x
+    kept = {}
+    for t, x in chi2.items():
+        base, dense = t.removesuffix("^"), t.endswith("^")
+        word = base.split(":", 1)[-1]
+        roots = [r for r in stems_of(word) if r != base]
+        rivals = [base if dense else base + "^"] + [v for r in roots for v in (r, r + "^")]
+        if not any(chi2.get(r, 0) > x or chi2.get(r, 0) == x and len(r) < len(t) for r in rivals):
+            kept[t] = x
+    return kept
 
 
 @dataclass
@@ -127,10 +160,13 @@ class Model:
             if known is None:
                 if len(self.cache) > 200_000:
                     self.cache.clear()
-                known = self.cache[w] = tuple(t for t in terms_of(Counter((w,))) if t in self.idf)
+                known = self.cache[w] = tuple(t for t in (w, *stems_of(w)) if t in self.idf or t + "^" in self.idf)
             for t in known:
                 tf[t] = tf.get(t, 0) + n
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
+        if not tf:
+            return {}
+        dense = {t: tf[t[:-1]] for t in graded(tf, words.total())}
+        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in (tf | dense).items() if t in self.idf}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {t: x / norm for t, x in raw.items()} if norm else {}
 
@@ -176,17 +212,11 @@ def fit(ids: list, texts: list[str | None], labels: list[int], min_chi2: float =
     words = [words_of(t) for t in texts]
     df, df1 = Counter(), Counter()
     for w, y in zip(words, labels):
-        own = terms_of(w).keys()
+        own = terms_of(w)
         df.update(own)
         if y:
             df1.update(own)
-    for t, d in df.items():
-        if d >= MIN_DOCS:
-            a, b = df1[t], d - df1[t]
-            c, e = pos - a, n - pos - b
-            chi2 = n * (a * e - b * c) ** 2 / max(1, (a + b) * (c + e) * pos * (n - pos))
-            if chi2 >= min_chi2:
-                model.idf[t] = math.log((1 + n) / (1 + d)) + 1
+    model.idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in select(df, df1, n, pos, min_chi2)}
     vectors = [model.vector(w) for w in words]
     kept = [i for i, v in enumerate(vectors) if v]
     bare = [labels[i] for i, v in enumerate(vectors) if not v]
