@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,13 +35,14 @@ from loomspark.llm.batches import map_columns
 from loomspark.session import table
 
 FOLDS = 5
-MAX_EXAMPLES = 12_000
+MAX_EXAMPLES = 8_000
 MIN_CHI2 = 30.0
 MIN_PHI2 = 0.02  # least chi-square over the number of examples
 MIN_DOCS = 4
 STEMS = (4, 5)
 DENSE = 128
 BLOCK = 64
+AT_ONCE = 8  # blocks that are scored together
 K = 15
 PRIOR_WEIGHT = 0.5
 
@@ -94,49 +95,56 @@ def select(df: Counter, df1: Counter, n: int, pos: int, min_chi2: float) -> dict
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit vectors over ``n`` examples, with each block's largest weight for each term."""
+    """Postings of unit vectors over ``n`` examples in blocks, with each block's largest weight for each term.
+
+    ``weights`` has a row of ``BLOCK`` weights for each term and block with a posting, ``row`` where to find it
+    (0: a row of zeros), ``maxima`` the largest weight.
+    """
 
     n: int
-    postings: dict[str, tuple[np.ndarray, np.ndarray]]
-    maxima: dict[str, tuple[np.ndarray, np.ndarray]]
-    starts: dict[str, np.ndarray]
+    terms: dict[str, int]
+    row: np.ndarray
+    weights: np.ndarray
+    maxima: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[dict[str, float]]) -> BlockMaxIndex:
-        lists = defaultdict(list)
+        terms = {t: k for k, t in enumerate(sorted({t for v in vectors for t in v}))}
+        row = np.zeros((len(terms), -(-len(vectors) // BLOCK)), np.int32)
+        weights = [np.zeros(BLOCK)]
         for i, v in enumerate(vectors):
             for t, w in v.items():
-                lists[t].append((i, w))
-        postings, maxima, starts = {}, {}, {}
-        for t, own in lists.items():
-            ids, ws = np.array([i for i, _ in own]), np.array([w for _, w in own])
-            blocks, first = np.unique(ids // BLOCK, return_index=True)
-            postings[t], maxima[t], starts[t] = (ids, ws), (blocks, np.maximum.reduceat(ws, first)), np.append(first, len(ids))
-        return cls(len(vectors), postings, maxima, starts)
+                k, b = terms[t], i // BLOCK
+                if not row[k, b]:
+                    row[k, b] = len(weights)
+                    weights.append(np.zeros(BLOCK))
+                weights[row[k, b]][i % BLOCK] = w
+        held = np.array(weights)
+        return cls(len(vectors), terms, row, held, held.max(1)[row])
 
     def nearest(self, query: dict[str, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples with a similarity over 0, best first, ties by number; exact."""
-        terms = [(t, w) for t, w in query.items() if t in self.postings]
-        if not terms:
+        known = [(self.terms[t], w) for t, w in query.items() if t in self.terms]
+        if not known:
             return []
-        bound = np.zeros(-(-self.n // BLOCK))
-        for t, w in terms:
-            blocks, top = self.maxima[t]
-            bound[blocks] += w * top
+        own, q = np.array([t for t, _ in known]), np.array([w for _, w in known])
+        bound = q @ self.maxima[own]
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1][0] - 1e-12:
+        for at in range(0, len(order), AT_ONCE):
+            if bound[order[at]] <= 0 or len(best) >= k and bound[order[at]] < best[-1][0] - 1e-9:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in terms:
-                blocks, _ = self.maxima[t]
-                at = int(np.searchsorted(blocks, b))
-                if at < len(blocks) and blocks[at] == b:
-                    span = slice(self.starts[t][at], self.starts[t][at + 1])
-                    ids, ws = self.postings[t]
-                    scores[ids[span] - b * BLOCK] += w * ws[span]
-            best += [(-float(-scores[i]), int(b) * BLOCK + int(i)) for i in np.flatnonzero(scores > 0) if b * BLOCK + i != skip]
-            best = sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:k]
+            blocks = order[at : at + AT_ONCE]
+            scores = np.einsum("t,tbi->bi", q, self.weights[self.row[own][:, blocks]])
+            least = max(best[-1][0] - 1e-9, 0) if len(best) >= k else 0
+            b, i = np.nonzero(scores > least)
+            numbers = blocks[b] * BLOCK + i
+            if len(numbers) > k + 1:  # the best k of these and all that tie with the last
+                floor = np.partition(scores[b, i], -k - 1)[-k - 1] - 1e-9
+                few = scores[b, i] >= floor
+                b, i, numbers = b[few], i[few], numbers[few]
+            best += [(float(s), int(x)) for s, x in zip(scores[b, i], numbers) if x != skip]
+            best = sorted(best, key=lambda x: (-round(x[0], 9), x[1]))[:k]
         return best
 
 

@@ -33,7 +33,7 @@ def test_nearest_is_exact():
     for _ in range(60):
         q = unit()
         sims = [sum(w * v.get(k, 0) for k, w in q.items()) for v in vs]
-        want = sorted((-round(s, 12), i) for i, s in enumerate(sims) if s > 0)[:15]
+        want = sorted((-round(s, 9), i) for i, s in enumerate(sims) if s > 0)[:15]
         got = index.nearest(q, 15)
         assert [i for _, i in got] == [i for _, i in want]
         assert np.allclose([s for s, _ in got], [-s for s, _ in want])
