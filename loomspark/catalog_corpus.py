@@ -67,7 +67,7 @@ _add("oversized", f"SELECT 'c/' || doc_id || '.md' AS subject, count(*)::VARCHAR
 _add("orphan_chunk", f"SELECT count(*)::VARCHAR AS subject, count(DISTINCT doc_id)::VARCHAR AS detail FROM {_TURNS} WHERE doc_id % 5 = 0 HAVING count(*) > 0", lambda s, d: quality.orphan_chunk(turn_chunks(s, d), _conv(s, d).where("doc_id % 5 <> 0")).select("subject", "detail"))
 _add("sweep_chunks", f"SELECT doc_id, n_tokens FROM {_TURNS} WHERE doc_id % 5 <> 0", lambda s, d: reconcile.sweep(turn_chunks(s, d), _conv(s, d).where("doc_id % 5 <> 0")))
 _add("dup_content", "SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1", lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1"))
-_add("link_density", "SELECT page_id, round(coalesce(list_sum(list_transform(regexp_extract_all(t, '\\[[^\\]]*\\]\\([^)]*\\)'), x -> strlen(x))), 0) / strlen(t), 6) AS density FROM (SELECT page_id, regexp_replace(html, '<a href=\"([^\"]*)\">([^<]*)</a>', '[\\2](\\1)', 'g') AS t FROM pages)", lambda s, d: table(s, d, "pages").select("page_id", F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', "[$2]($1)").alias("t")).select("page_id", F.round(quality.link_density(F.col("t")), 6).alias("density")))
+_add("link_density", "SELECT page_id, round(coalesce(list_sum(list_transform(regexp_extract_all(t, '\\[[^\\]]*\\]\\([^)]*\\)'), lambda x: strlen(x))), 0) / strlen(t), 6) AS density FROM (SELECT page_id, regexp_replace(html, '<a href=\"([^\"]*)\">([^<]*)</a>', '[\\2](\\1)', 'g') AS t FROM pages)", lambda s, d: table(s, d, "pages").select("page_id", F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', "[$2]($1)").alias("t")).select("page_id", F.round(quality.link_density(F.col("t")), 6).alias("density")))
 
 # --- similar pairs -----------------------------------------------------------------------------------
 

@@ -18,7 +18,7 @@ def _add(name: str, sql: str | None, fn) -> None:
 
 
 #: DuckDB text for the tokens of a column without unspaced scripts.
-_TOK = "list_transform(regexp_extract_all({c}, '(?:[0-9A-Za-z]|[^\\x00-\\x7F])+'), t -> translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+_TOK = "list_transform(regexp_extract_all({c}, '(?:[0-9A-Za-z]|[^\\x00-\\x7F])+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,9 +48,9 @@ def bm25_sql(query: str, columns: dict[str, float], where: str = "true", k: int
 
     def count(j: int, phrase: tuple[str, ...]) -> str:
         if len(phrase) == 1:
-            return f"len(list_filter(t{j}, x -> x = '{phrase[0]}'))"
+            return f"len(list_filter(t{j}, lambda x: x = '{phrase[0]}'))"
         want = "[" + ", ".join(f"'{p}'" for p in phrase) + "]"
-        return f"len(list_filter(range(1, len(t{j}) + 1), i -> t{j}[i:i + {len(phrase) - 1}] = {want}))"
+        return f"len(list_filter(range(1, len(t{j}) + 1), lambda i: t{j}[i:i + {len(phrase) - 1}] = {want}))"
 
     cs = ", ".join(f"{count(j, p)} AS c{i}_{j}" for i, p in enumerate(q.phrases) for j in range(len(columns)))
     any_of = lambda i: "(" + " + ".join(f"c{i}_{j}" for j in range(len(columns))) + ")"

@@ -69,6 +69,11 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
+def _once(df: DataFrame, keep: list[Column], made: list[Column]) -> DataFrame:
+    """``made`` computed once a row: behind a generator, the optimiser does not copy them into later expressions."""
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))
+
+
 def bm25(chunks: DataFrame, query: KeywordQuery | str, key: str, columns: dict[str, float], scope: Column | None = None, k: int = CANDIDATES) -> DataFrame:
     """(key, score): the k best rows for the query; larger is better, ties by key.
 
@@ -79,12 +84,10 @@ def bm25(chunks: DataFrame, query: KeywordQuery | str, key: str, columns: dict[s
     if not q.phrases:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     named = {c: f"_t{i}" for i, c in enumerate(columns)}
-    base = chunks.select(key, *(tokens(F.col(c)).alias(t) for c, t in named.items()), (scope if scope is not None else F.lit(True)).alias("_in"))
-    length = sum((F.size(t) for t in named.values()), F.lit(0))
-    counted = base.select(
-        key, "_in", length.alias("_len"),
-        *(_count_phrase(t, p).alias(f"_c{i}_{j}") for i, p in enumerate(q.phrases) for j, t in enumerate(named.values())),
-    )
+    base = _once(chunks, [F.col(key), (scope if scope is not None else F.lit(True)).alias("_in")], [tokens(F.col(c)).alias(t) for c, t in named.items()])
+    length = sum((F.size(t) for t in named.values()), F.lit(0)).alias("_len")
+    parts = [_count_phrase(t, p).alias(f"_c{i}_{j}") for i, p in enumerate(q.phrases) for j, t in enumerate(named.values())]
+    counted = _once(base, [F.col(key), F.col("_in")], [length, *parts])
     any_of = lambda i: sum((F.col(f"_c{i}_{j}") for j in range(len(named))), F.lit(0))
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(any_of(i) > 0).alias(f"_d{i}") for i in range(len(q.phrases))))
     hits = counted.where(F.col("_in") & (sum((any_of(i) for i in range(len(q.phrases))), F.lit(0)) > 0)).crossJoin(F.broadcast(stats))  # one row

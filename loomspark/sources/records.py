@@ -1,7 +1,7 @@
 """Record tables from csv files: whole-row parsing, bad rows kept apart, kinds inferred in one pass.
 
 All columns are read as text. Kinds are decided on a sample of the newest files' first rows (newest by file
-name), by one aggregate over all columns; loading then trims, turns blanks into nulls and numbers into
+name); loading then trims, turns blanks into nulls and numbers into
 doubles. What a kind means is in the column's metadata, so a table carries its schema.
 """
 
@@ -59,16 +59,20 @@ def sample(rows: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def profile(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A row per column with the evidence for its kind and the kind: one aggregate over all columns."""
+    """A row per column with the evidence for its kind and the kind.
+
+    Cells are counted by (column, value) first, which combines before the shuffle, then by column.
+    """
     names = list(columns or [c for c in rows.columns if not c.startswith("_")])
-    value = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string"), F.lit(" \t")), F.lit("")) for c in names}
-    tests = {"dates": ISO_DATE, "numbers": NUMBER, "ids": IDENTIFIER}
-    aggs = []
-    for i, v in enumerate(value.values()):
-        aggs += [F.count(v).alias(f"total{i}"), F.countDistinct(v).alias(f"distinct{i}")]
-        aggs += [F.count_if(v.rlike(t) & (F.octet_length(v) <= 32) if k == "ids" else v.rlike(t)).alias(f"{k}{i}") for k, t in tests.items()]
-    per = F.array(*[F.struct(F.lit(c).alias("field"), *(F.col(f"{k}{i}").alias(k) for k in ("total", "distinct", *tests))) for i, c in enumerate(names)])
-    found = rows.agg(*aggs).select(F.inline(per))
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("v")) for c in names])
+    v = F.nullif(F.trim("v", F.lit(" \t")), F.lit(""))
+    long = rows.select(F.inline(cells)).select("field", v.alias("v")).groupBy("field", "v").agg(F.count(F.lit(1)).alias("n"))
+    have = F.when(F.col("v").isNotNull(), F.col("n"))
+    that = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0))
+    found = long.groupBy("field").agg(
+        F.coalesce(F.sum(have), F.lit(0)).alias("total"), F.count("v").alias("distinct"), that(F.col("v").rlike(ISO_DATE)).alias("dates"),
+        that(F.col("v").rlike(NUMBER)).alias("numbers"), that(F.col("v").rlike(IDENTIFIER) & (F.octet_length("v") <= 32)).alias("ids"),
+    )
     n, d = F.col("total"), F.col("distinct")
     kind = (
         F.when(n == 0, "string").when(F.col("dates") == n, "date").when(F.col("numbers") == n, "number").when(n < LEAST_VALUES, "string")
