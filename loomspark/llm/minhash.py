@@ -7,12 +7,11 @@ sequence of universal hashes meets first (optimal densification), so bins agree
 the similarity. Classes that agree in all bins of a band share a bucket; with 40 bands of 6, two sets of
 similarity 0.8 miss each other in all bands with a chance of 5e-6.
 
-A bucket's candidates are stars: its least member with every other one. Each pair is confirmed on the
-full sets. Components are then formed, and while a bucket still holds several components, its members
-outside the largest of them become centres in turn (twice as many each round) and are paired with the
-members of other components, until every pair that shares a bucket is tested or already connected. So
-stars lose no link that all pairs of the buckets would give, and groups of near copies cost pairs in
-proportion to their size.
+A bucket's candidates are a star: its centre, the member that meets most others, with every other one. Each
+pair is confirmed on the full sets and components are formed. Where a bucket then still holds several
+components, its members outside the largest of them are compared with the members of the others: as pairs in
+small buckets, in larger ones in blocks that give a link per component and no pairs. So every pair that shares a
+bucket is tested or already connected, and groups of near copies cost rows in proportion to their size.
 
 Defined results: texts without words have an empty set, linked with nothing; rows with one doc_id are one
 document; a row without id is linked with nothing, its component is null and it is kept; an empty
@@ -34,6 +33,9 @@ from loomspark.session import table
 BANDS, ROWS = 40, 6
 SHINGLE = 5
 PERCENT = 80
+SMALL = 16  # members of a bucket that is resolved by pairs
+BLOCK = 512  # outsiders and members of a cell
+COLUMNS = 4096  # hashes in a product of incidence matrices
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -145,6 +147,69 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(f"100 * i >= {percent} * (size(a) + size(b) - i)").select("u", "v")
 
 
+def _cell_links(percent: int):
+    """For outsiders against a block of members: a link to each component that has a similar enough member."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, parts, out = rows["id"].to_numpy(), rows["part"].to_numpy(), rows["outside"].to_numpy(zero_copy_only=False)
+        offsets = rows["hashes"].combine_chunks().offsets.to_numpy()
+        flat = rows["hashes"].combine_chunks().flatten().to_numpy()
+        sizes = np.diff(offsets)
+        names, column = np.unique(flat, return_inverse=True)
+        of = np.repeat(np.arange(len(ids)), sizes)
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
+        where = np.empty(len(ids), np.int64)
+        where[left], where[right] = np.arange(len(left)), np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)
+        useful = (np.bincount(column[out[of]], minlength=len(names)) > 0) & (np.bincount(column[~out[of]], minlength=len(names)) > 0)
+        number = np.cumsum(useful) - 1
+        keep = useful[column]
+        column, of = number[column[keep]], of[keep]
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        for first in range(0, int(useful.sum()), COLUMNS):
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            c, o = column[a:b] - first, of[a:b]
+            x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            mine = out[o]
+            x[where[o[mine]], c[mine]] = 1
+            y[where[o[~mine]], c[~mine]] = 1
+            both += x @ y.T
+        either = sizes[left][:, None] + sizes[right][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * either) & (parts[left][:, None] != parts[right][None, :]))
+        pairs = {(int(ids[left[p]]), int(parts[right[q]])) for p, q in zip(i, j)}
+        u, v = zip(*pairs) if pairs else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _rest(buckets: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components that meet in a bucket: members outside its largest one against all others.
+
+    Buckets of at most ``SMALL`` members give pairs, which many bands share; larger ones are compared in cells of
+    outsiders and members, by products of their incidence matrices, and give links only.
+    """
+    placed = buckets.join(parts.withColumnRenamed("u", "id"), "id", "left").select("key", "id", F.coalesce("v", "id").alias("part"))
+    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max("n").alias("most")).where("parts > 1")
+    mixed = mixed.select("key", "main", "size", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
+    open_ = materialize(placed.join(mixed, "key"), "open").df
+
+    small = open_.where(F.col("size") <= SMALL)
+    heads = small.where("part <> main").select("key", F.col("id").alias("c"), F.col("part").alias("cp"))
+    met = small.select("key", "id", "part").join(heads, "key").where("part <> cp")
+    pairs = met.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct()
+
+    large = open_.where(F.col("size") > SMALL).join(sets, "id")
+    lot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = large.where("part <> main").select("key", lot("lefts").alias("x"), every("rights").alias("y"), "id", "part", F.lit(True).alias("outside"), "hashes")
+    members = large.select("key", every("lefts").alias("x"), lot("rights").alias("y"), "id", "part", F.lit(False).alias("outside"), "hashes")
+    cells = outside.unionByName(members).groupBy("key", "x", "y").applyInArrow(_cell_links(percent), "u long, v long")
+    return _confirmed(pairs, sets, percent).unionByName(cells)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     if percent < 80:
@@ -155,10 +220,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = materialize(named, "classes").df
     release_shuffles(spark)
 
-    # buckets of two members at least, with their least member
+    # buckets of two members at least; the centre is the member that meets most others in its buckets
     spread = classes.select("id", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").drop("last")
-    buckets = materialize(spread.join(shared, "key"), "buckets").df
+    shared = spread.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last")
+    buckets = materialize(spread.join(shared.select("key", "size"), "key"), "buckets").df
     release_shuffles(spark)
 
     wanted = classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "s1")
@@ -167,35 +232,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sets = materialize(sets.select("id", "hashes"), "sets").df
     release_shuffles(spark)
 
-    stars = buckets.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-    tested = materialize(stars, "pairs")
-    parts = connected_components(_confirmed(tested.df, sets, percent))
-    centres = buckets.select("key", F.col("centre").alias("id")).distinct()  # members whose pairs in a bucket are done
-    width = 1
-    while True:
-        own = F.coalesce("v", "id").alias("part")
-        placed = buckets.select("key", "id").join(parts.df.withColumnRenamed("u", "id"), "id", "left").select("key", "id", own)
-        sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        open_ = materialize(placed.join(mixed, "key"), "open")
-        todo = open_.df.where("part <> main").join(centres, ["key", "id"], "left_anti")
-        chosen = materialize(todo.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(width)).alias("lot")).agg(F.min("id").alias("id")).drop("lot"), "centres")
-        if not chosen.df.head(1):
-            open_.drop()
-            chosen.drop()
-            break
-        heads = open_.df.select("key", "id", "part").join(chosen.df, ["key", "id"]).select("key", F.col("id").alias("c"), F.col("part").alias("cp"))
-        met = open_.df.select("key", "id", "part").join(heads, "key").where("part <> cp").select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct()
-        fresh = materialize(met.join(tested.df, ["u", "v"], "left_anti"), "pairs")
-        links = _confirmed(fresh.df, sets, percent)
-        after = connected_components(parts.df.unionByName(links))
-        parts.drop()
-        parts, both = after, materialize(tested.df.unionByName(fresh.df), "pairs")
-        tested.drop()
-        fresh.drop()
-        open_.drop()
-        tested, width = both, width * 2
-        centres = centres.unionByName(chosen.df)
+    meets = buckets.groupBy("id").agg(F.sum("size").alias("meets"))
+    centres = buckets.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("centre"))
+    stars = buckets.join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+    parts = connected_components(_confirmed(stars, sets, percent))
+    rest = materialize(_rest(buckets.drop("size"), parts.df, sets, percent), "links")
+    after = connected_components(parts.df.unionByName(rest.df))
+    parts.drop()
+    rest.drop()
+    parts = after
 
     grouped = classes.select("s1", "s2", "id", "copies").join(parts.df.withColumnRenamed("u", "id"), "id", "left")
     grouped = grouped.where("copies > 1 or v is not null").select("s1", "s2", F.coalesce("v", "id").alias("least"))
