@@ -49,7 +49,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], header: Sequence[s
     schema = T.StructType([*(T.StructField(h, T.StringType()) for h in header), T.StructField(CORRUPT, T.StringType())])
     raw = spark.read.options(**options).csv(paths, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
     raw = raw.withColumn("_file", F.col("_metadata.file_path"))
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select("_file", F.col(CORRUPT).alias("text"))
+    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select("_file", F.coalesce(F.col(CORRUPT), F.col(f"`{header[0]}`")).alias("text"))  # a plan that reads the corrupt column alone is refused
 
 
 def sample(rows: DataFrame, size: int = SAMPLE) -> DataFrame:
