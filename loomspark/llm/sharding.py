@@ -86,3 +86,32 @@ def assign_shards(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_step(n: int) -> int:
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+def _sql_once(v: str) -> str:
+    """DuckDB: one pass of the network over ``v``, as nested selects from a row with v, a and b."""
+    inner = f"SELECT *, {v} // b AS l, {v} % b AS r"
+    for i, (m1, m2, k) in enumerate(ROUNDS):
+        f = lambda side: mixed(side, str(m1), str(m2), str(k))  # noqa: E731, B023
+        new = f"(l + {f('r')}) % a AS l, r" if i % 2 == 0 else f"l, (r + {f('l')}) % b AS r"
+        inner = f"SELECT doc_id, size, text_crc32, total, a, b, {new} FROM ({inner} {{source}})" if i == 0 else f"SELECT doc_id, size, text_crc32, total, a, b, {new} FROM ({inner})"
+    return f"SELECT doc_id, size, text_crc32, total, a, b, l * b + r AS p FROM ({inner})"
+
+
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda c, y: xor(c >> 8, ([{','.join(str(_crc_step(i)) for i in range(256))}]::BIGINT[])[(xor(c, y) & 255) + 1])), 4294967295)"
+
+OP6_SQL = f"""
+WITH RECURSIVE h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, (length(h) // 2 + 8)::BIGINT AS size, list_transform(range(0, (length(h) // 2)::BIGINT), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT::BIGINT) AS x FROM h),
+d AS (SELECT doc_id, size, {_CRC} AS text_crc32 FROM x),
+n AS (SELECT *, row_number() OVER (ORDER BY {bucket_of('doc_id')}, doc_id NULLS FIRST, text_crc32, size) - 1 AS n, count(*) OVER () AS total FROM d),
+g AS (SELECT *, floor(sqrt(total - 1))::BIGINT + 1 AS a FROM n), s AS (SELECT *, ceil(total / a)::BIGINT AS b FROM g),
+w AS ({_sql_once('n').format(source='FROM s')} UNION ALL {_sql_once('p').format(source='FROM w WHERE p >= total')})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 24)::INT AS shard, (p // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM w WHERE p < total
+"""
