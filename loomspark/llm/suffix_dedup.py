@@ -5,7 +5,7 @@ the suffixes of the whole corpus would send every byte through a shuffle many ti
 
 1. Anchors. Of each ``LENGTH``-byte window the ``GRAM``-byte run with the least hash (the leftmost of equals)
    is its anchor; equal windows have it at the same place, so it is enough to compare windows at shared
-   anchors. Every anchor comes with a hash of its context, the bytes of all windows that can hold it.
+   anchors. Every anchor comes with a hash of its context, the bytes of the windows that have it for theirs.
    Inside a slice of documents equal contexts are reduced to the one with the least id.
 2. By anchor. Where a smaller document has the same context, all of its bytes go. Where no smaller
    document has the anchor, none do. What is left are contexts that are the least of their kind though a
@@ -40,10 +40,9 @@ from loomspark.session import table
 
 LENGTH = 50
 GRAM = 16
-SPAN = LENGTH - GRAM  # bytes of a window beside its anchor
 SLICE = 2_000_000  # bytes of text that are worked on at once
 CHUNK = 3000  # contexts of one anchor in a suffix array
-STRING = 60_000  # bytes of a suffix array, about
+STRING = 12_000  # bytes of a suffix array, about
 U = np.uint64
 PIECE = 250_000  # bytes that are hashed at once
 #: before and behind: of the anchor with the GRAM bytes beside it, which any shared window has on one side
@@ -82,35 +81,32 @@ def anchors_of(texts: list[bytes], ids: list[int]) -> tuple[np.ndarray, np.ndarr
         low = np.minimum(low[:-shift], low[shift:])
     low = np.minimum(low[: len(low) - 3], low[3:])  # over LENGTH - GRAM + 1 = 35 places
     room = np.repeat(begin[1:], sizes)[: len(low)] - np.arange(len(low))  # to the end of the text
-    at = (low[room >= LENGTH] & U(0xFFFFFFFF)).astype(np.int64)
-    if not len(at):
+    starts = np.flatnonzero(room >= LENGTH)
+    if not len(starts):
         return np.empty(0, ENTRY), np.empty(0, U)
-    at = at[np.diff(at, prepend=-1) != 0]
+    at = (low[starts] & U(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))  # windows in a row have one anchor
+    last = np.append(first[1:], len(at)) - 1
+    begins, ends, at = starts[first], starts[last] + LENGTH, at[first]
     owner = np.searchsorted(begin, at, side="right") - 1
     out = np.empty(len(at), ENTRY)
-    pos = at - begin[owner]
-    left, right = np.minimum(pos, SPAN), np.minimum(sizes[owner] - pos - GRAM, SPAN)
+    left, right = at - begins, ends - at - GRAM
     full = h[at]
     two = lambda p: _stir(h[p] * _PRIMES[4] + h[p + GRAM])  # noqa: E731  of 32 bytes
-    before, behind = _stir(pos.astype(U)), _stir(pos.astype(U))  # without room for GRAM bytes nothing can match there
+    # where no window has GRAM bytes on a side, nothing can match there
+    before, behind = _stir(at.astype(U) + U(1)), _stir(at.astype(U) + U(2))
     ok = left >= GRAM
     before[ok] = two(at[ok] - GRAM)
     ok = right >= GRAM
     behind[ok] = two(at[ok])
     out["anchor"], out["before"], out["behind"] = full & U(0xFFFFFFFF), before & U(0xFFFFFFFF), behind & U(0xFFFFFFFF)
-    out["doc"], out["pos"], out["left"], out["right"] = np.array(ids, np.int64)[owner], pos, left, right
+    out["doc"], out["pos"], out["left"], out["right"] = np.array(ids, np.int64)[owner], at - begin[owner], left, right
     out["check"] = np.fromiter(map(zlib.crc32, texts), np.uint32, len(texts))[owner]
-    whole = (left == SPAN) & (right == SPAN)
-    p = at[whole]
-    x = two(p - SPAN)
-    for j, part in enumerate((h[p - GRAM], full[whole], two(p + GRAM), h[p + SPAN])):
-        x = _stir(x * _PRIMES[j] + part)
-    context = np.empty(len(at), U)
-    context[whole] = x
-    for i in np.flatnonzero(~whole):
-        a, doc = int(pos[i]), texts[owner[i]]
-        context[i] = xxhash.xxh3_64_intdigest(doc[a - int(left[i]) : a + GRAM + int(right[i])], int(left[i]) + 1)
-    out["context"] = context
+    size = ends - begins  # 50 to 84 bytes: three runs of 32 cover them
+    x = _stir(size.astype(U) * _PRIMES[1] + left.astype(U))
+    for j, p in enumerate((begins, begins + np.minimum(26, size - 32), ends - 32)):
+        x = _stir(x * _PRIMES[j] + two(p))
+    out["context"] = x
     return out, full
 
 
@@ -224,7 +220,7 @@ def _by_slice(n: int, piece: int = PIECE, slice_: int = SLICE):
     return run
 
 
-NEED = np.dtype([("anchor", "<u4"), ("doc", "<i8"), ("check", "<u4"), ("pos", "<i4"), ("asks", "u1"), ("lot", "<i4")])
+NEED = np.dtype([("anchor", "<u4"), ("doc", "<i8"), ("check", "<u4"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("asks", "u1"), ("lot", "<i4")])
 NEEDS = 2
 
 
@@ -278,7 +274,7 @@ def _by_anchor(n: int, chunk: int = CHUNK):
             rank = np.lexsort((some["pos"], some["doc"], some["anchor"]))
             some, asks = some[rank], asks[rank]
             need = np.empty(len(some), NEED)
-            for f in ("anchor", "doc", "check", "pos"):
+            for f in ("anchor", "doc", "check", "pos", "left", "right"):
                 need[f] = some[f]
             need["asks"] = asks
             # contexts of a frequent anchor are dealt to several strings
@@ -305,9 +301,9 @@ def _fetch(docs: pa.Table, packed: pa.Table) -> pa.Table:
     need = _unpack(packed["payload"].to_pylist(), NEED)
     texts = _texts(docs)
     cols: list[list] = [[] for _ in range(7)]
-    for anchor, doc, check, pos, asks, lot in need.tolist():
-        a = max(0, pos - SPAN)
-        for col, v in zip(cols, (anchor, lot, doc, check, a, bool(asks), texts[doc, check][a : pos + GRAM + SPAN])):
+    for anchor, doc, check, pos, left, right, asks, lot in need.tolist():
+        a = pos - left
+        for col, v in zip(cols, (anchor, lot, doc, check, a, bool(asks), texts[doc, check][a : pos + GRAM + right])):
             col.append(v)
     return pa.table({k: pa.array(c, t) for k, c, t in zip(("anchor", "lot", "doc", "check", "start", "asks", "bytes"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))})
 
@@ -315,25 +311,20 @@ def _fetch(docs: pa.Table, packed: pa.Table) -> pa.Table:
 CONTEXTS = "anchor long, lot int, doc long, check long, start int, asks boolean, bytes binary"
 
 
-def classes(contexts: list[bytes], docs: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(least doc, [(context, offset)]) for each class of equal ``LENGTH``-byte strings in these contexts."""
-    text, where = [], []
-    for c, data in enumerate(contexts):
-        text += [b + 2 for b in data]
-        text.append(1)
-        where += [(c, o) for o in range(len(data) + 1)]
-    order = [i for i in suffix_array(text) if where[i][1] + LENGTH <= len(contexts[where[i][0]])]
-    last, own = None, []
-    for i in order:
-        c, o = where[i]
-        window = contexts[c][o : o + LENGTH]
-        if window != last and own:
-            yield min(docs[x] for x, _ in own), own
-            own = []
-        own.append((c, o))
-        last = window
-    if own:
-        yield min(docs[x] for x, _ in own), own
+def classes(contexts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, context, offset, least doc of the class) of every ``LENGTH``-byte string in these contexts, by class."""
+    joined = b"\0".join(contexts) + b"\0"
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
+    of = np.repeat(np.arange(len(contexts)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    order = np.array(suffix_array([c + 1 for c in joined]), np.int64)
+    order = order[order + LENGTH < (begin + sizes)[of[order]]]
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), LENGTH)[order]
+    new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))) if len(order) else np.empty(0, bool)
+    number = np.cumsum(new) - 1
+    context = of[order]
+    least = np.minimum.reduceat(np.array(docs, np.int64)[context], np.flatnonzero(new))[number] if len(order) else number
+    return number, context, order - begin[context], least
 
 
 DECIDED = "doc long, check long, start int, end int, d1 long, d2 long, least long"
@@ -346,18 +337,23 @@ def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     rows = rows.sort_by([("lot", "ascending"), ("anchor", "ascending"), ("doc", "ascending"), ("start", "ascending")])
     anchor, lot, doc, check, start, asks, data = (rows[c].to_pylist() for c in ("anchor", "lot", "doc", "check", "start", "asks", "bytes"))
+    doc_ids, asking = np.array(doc, np.int64), np.array(asks, bool)
     plain: list[tuple] = []
     out: list[tuple] = []
 
     def solve(a: int, b: int) -> None:
-        for least, own in classes(data[a:b], doc[a:b]):
-            asked = [(a + c, start[a + c] + o) for c, o in own if asks[a + c]]
-            if lot[a]:
-                d = np.frombuffer(xxhash.xxh3_128_digest(data[a + own[0][0]][own[0][1] : own[0][1] + LENGTH]), "<i8").tolist()
-                out.append((None, None, None, None, *d, least))
-                out.extend((doc[i], check[i], s, s + LENGTH, *d, None) for i, s in asked)
-            else:
-                plain.extend((doc[i], check[i], s, s + LENGTH) for i, s in asked if doc[i] > least)
+        number, context, offset, least = classes(data[a:b], doc[a:b])
+        mine = asking[a + context]
+        if not lot[a]:
+            hit = np.flatnonzero(mine & (doc_ids[a + context] > least))
+            plain.extend((doc[i], check[i], s := start[i] + int(o), s + LENGTH) for i, o in zip((a + context[hit]).tolist(), offset[hit].tolist()))
+            return
+        for k in np.flatnonzero(np.diff(number, prepend=-1)):  # a class begins
+            end = k + int(np.searchsorted(number[k:], number[k], side="right"))
+            c, o = int(context[k]), int(offset[k])
+            d = np.frombuffer(xxhash.xxh3_128_digest(data[a + c][o : o + LENGTH]), "<i8").tolist()
+            out.append((None, None, None, None, *d, int(least[k])))
+            out.extend((doc[a + i], check[a + i], s := start[a + i] + int(q), s + LENGTH, *d, None) for i, q, m in zip(context[k:end].tolist(), offset[k:end].tolist(), mine[k:end]) if m)
 
     a, held = 0, 0
     for b in range(len(data)):
