@@ -4,7 +4,7 @@ Labelled rows whose crc32 of the id is 0 modulo ``FOLDS`` are held out and never
 others at most ``MAX_EXAMPLES`` (the smallest by a hash of the id) are gathered as examples. Terms are
 lower-cased words and their beginnings of ``STEMS`` letters, and each of these again, marked, where it makes
 up at least 1 / ``DENSE`` of the words; the vocabulary keeps those whose presence is associated with the label
-by chi-square of at least ``MIN_CHI2`` and ``MIN_PHI2`` an example, unless a stem or the other grade tells at least as much. Weights are (1 + ln tf) * idf, scaled to
+by chi-square of at least ``MIN_CHI2``, however many examples there are, unless a stem or the other grade tells at least as much. Weights are (1 + ln tf) * idf, scaled to
 unit length. The index holds, for each term, postings in blocks of ``BLOCK`` examples and the largest
 weight of each block. A text's nearest ``K`` examples are exact: blocks are visited by falling upper
 bound, until the bound is below the K-th best similarity. Votes weigh by squared similarity against a
@@ -37,7 +37,6 @@ from loomspark.session import table
 FOLDS = 5
 MAX_EXAMPLES = 8_000
 MIN_CHI2 = 30.0
-MIN_PHI2 = 0.02  # least chi-square over the number of examples
 MIN_DOCS = 4
 STEMS = (4, 5)
 DENSE = 128
@@ -80,7 +79,7 @@ def select(df: Counter, df1: Counter, n: int, pos: int, min_chi2: float) -> dict
             a, b = df1[t], d - df1[t]
             c, e = pos - a, n - pos - b
             x = n * (a * e - b * c) ** 2 / max(1, (a + b) * (c + e) * pos * (n - pos))
-            if x >= max(min_chi2, MIN_PHI2 * n):
+            if x >= min_chi2:
                 chi2[t] = x
     kept = {}
     for t, x in chi2.items():

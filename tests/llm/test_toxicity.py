@@ -39,6 +39,19 @@ def test_nearest_is_exact():
         assert np.allclose([s for s, _ in got], [-s for s, _ in want])
 
 
+def test_rare_toxic_term_is_kept():
+    """A term in 1 per cent of the toxic examples tells, and a text with it alone has toxic neighbours."""
+    texts, labels = [], []
+    for i in range(4000):
+        y = int(i % 10 == 0)
+        texts.append(f"plain words here {'slurword' if i % 1000 == 0 else 'fool' if y else 'nice'}")
+        labels.append(y)
+    model = t.fit(list(range(4000)), texts, labels)
+    assert "slurword" in model.idf or "slurword^" in model.idf or any(x.startswith(("4:slur", "5:slur")) for x in model.idf)
+    score, near = model.score("plain slurword")
+    assert score > 0.5 and sum(labels[model.ids[i]] for _, i in near) == 4
+
+
 def test_held_out_accuracy_and_evidence(spark):
     rows = corpus(1500)
     docs = spark.createDataFrame([(i, x, "s", 1.0) for i, x, _ in rows], "doc_id long, text string, toxic string, score double")
