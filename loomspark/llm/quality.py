@@ -2,12 +2,18 @@
 
 The content view sees counts over a text's characters and words; the metadata view sees language, source,
 lengths and the layout of lines. Both are logistic models fitted on a bounded sample of labelled rows.
-Over ``ROUNDS`` rounds each view labels a bounded pool of unlabelled documents, and the most confident of
-either label go to the other view's training rows. Labelled rows put aside before that calibrate each view
-and the combination of both views' scores by logistic fits; then every document is scored where it lies.
+Over ``ROUNDS`` rounds each view labels all unlabelled documents, and the most confident of either label go
+to the other view's training rows. Labelled rows put aside before that calibrate each view and the
+combination of both views' scores by logistic fits; then every document is scored where it lies.
 
-Labelled rows whose crc32 of the id is 0 modulo ``FOLDS`` are never learnt from. ``MAX_LABELLED`` and
-``MAX_POOL`` (the smallest by a hash of the id) bound what is gathered, whatever the corpus.
+The unlabelled rows' features are written once and never gathered: a histogram of the logits in ``LEVELS``
+levels a side gives the level at which ``SHARE`` of the rows is reached (the level is taken whole), moments
+and the Newton steps' sums are added up on the executors. Which rows were taken, and in which round, follows
+from the earlier rounds' models and levels. As a corpus has far more unlabelled rows than labelled ones, the
+rows taken by a view for a label in a round weigh together at most ``MASS`` of the labelled rows, each at most 1.
+
+Labelled rows whose crc32 of the id is 0 modulo ``FOLDS`` are never learnt from. ``MAX_LABELLED`` (the
+smallest by a hash of the id) bounds the labelled rows that are gathered, whatever the corpus.
 
 Defined results: null texts count as empty, null language, source or length as values of their own; with
 no labels, or labels of one kind only, the score is the smoothed rate of the label (0.5 without any); ids may
@@ -18,20 +24,24 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomspark.llm.batches import map_columns
+from loomspark.plans.store import materialize
 from loomspark.session import table
 
 FOLDS = 5
 MAX_LABELLED = 10_000
-MAX_POOL = 5_000
 ROUNDS = 4
-SHARE = 0.05  # of the pool, taken by each view for each label in a round
+SHARE = 0.05  # of the unlabelled rows, taken by each view for each label in a round
+MASS = 1 / (2 * ROUNDS)  # so all that a view is given weighs at most as much as the labelled rows
+SURE, LEVELS = 2.0, 2048  # least logit of a row that is taken; levels from there to 30
 MARKS = "#$%&*|!?,.;:()[]{}<>=+_/\\\"'-@~"
 BINS = 16
 
@@ -70,17 +80,25 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        mean, scale = x.mean(0), x.std(0) + 1e-6
-        a = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
-        theta, pull = np.zeros(a.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-3)
+        model = cls(x.mean(0), x.std(0) + 1e-6, np.zeros(x.shape[1] + 1))
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-5)
-            step = np.linalg.solve(a.T @ (a * w[:, None]) + np.diag(pull), a.T @ (p - y) + pull * theta)
-            theta = theta - np.clip(step, -4, 4)
+            step = model.step(*model.curve(x, y), ridge)
+            model.theta = model.theta - np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-7:
                 break
-        return cls(mean, scale, theta)
+        return model
+
+    def curve(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Curvature and slope of the rows' loss, to be added up."""
+        a = np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
+        p = 1 / (1 + np.exp(-np.clip(a @ self.theta, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-5) * weight
+        return a.T @ (a * w[:, None]), a.T @ ((p - y) * weight)
+
+    def step(self, curve: np.ndarray, slope: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+        """Newton's step of the ridged loss."""
+        pull = np.append(np.full(len(self.mean), ridge), 1e-3)
+        return np.linalg.solve(curve + np.diag(pull), slope + pull * self.theta)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.clip((x - self.mean) / self.scale, -8, 8) @ self.theta[:-1] + self.theta[-1], -30, 30)
@@ -105,33 +123,142 @@ class CoTrained:
         return *(_sigmoid(c.logit(u[:, None])) for c, u in zip(self.single, z)), _sigmoid(self.both.logit(np.column_stack(z)))
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
+Views = tuple[Logistic, Logistic]
+Cut = tuple[int, float]  # the least level that is taken, and each row's weight
+Past = list[tuple[Views, list[tuple[Cut, Cut]]]]  # of each round the views and their cuts for good and bad
+Given = tuple[np.ndarray, np.ndarray]  # the labels (nan: none) and weights of rows in a view's training rows
+
+
+@dataclass
+class LocalPool:
+    """Unlabelled rows in memory."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+    def total(self, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        return fn(self.a, self.b)
+
+
+@dataclass
+class StoredPool:
+    """Unlabelled rows in a table with both views' features in ``x``; sums are made on the executors."""
+
+    df: DataFrame
+    widths: tuple[int, int]
+
+    def total(self, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum of ``fn``, which makes a vector of some rows' features, over all rows."""
+        widths = self.widths
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = None
+            for batch in batches:
+                if batch.num_rows:
+                    made = fn(*_unpacked(batch.column("x"), widths))
+                    got = made if got is None else got + made
+            if got is not None:
+                yield pa.RecordBatch.from_pydict({"v": [got.tobytes()]}, pa.schema([("v", pa.binary())]))
+
+        out = fn(*(np.zeros((0, w)) for w in widths))
+        for v in self.df.mapInArrow(run, "v binary").toArrow()["v"].to_pylist():
+            out = out + np.frombuffer(v, float)
+        return out
+
+
+def _level(z: np.ndarray) -> np.ndarray:
+    """0 up to ``SURE``, then 1 to ``LEVELS``."""
+    return np.where(z > SURE, np.minimum(((z - SURE) / (30 - SURE) * LEVELS).astype(int), LEVELS - 1) + 1, 0)
+
+
+def _taken(past: Past, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple[Given, Given]]:
+    """Which rows are still free after the rounds, and what was given of them to either view."""
+    free = np.ones(len(a), bool)
+    given = tuple((np.full(len(a), np.nan), np.zeros(len(a))) for _ in range(2))
+    for views, cuts in past:
+        met = np.zeros(len(a), bool)
+        for k, (view, x, (good, bad)) in enumerate(zip(views, (a, b), cuts)):
+            z, (label, weight) = view.logit(x), given[1 - k]  # each view's labels go to the other one
+            for level, (cut, w), y in ((_level(z), good, 1.0), (_level(-z), bad, 0.0)):
+                mine = free & (level >= cut)
+                label[mine], weight[mine] = y, w
+                met |= mine
+        free &= ~met
+    return free, given
+
+
+def _histogram(past: Past, views: Views, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of free rows, and of each view how many are on each level for good and for bad."""
+    free, _ = _taken(past, a, b)
+    z = [s * v.logit(x[free]) for v, x in zip(views, (a, b)) for s in (1, -1)]
+    return np.concatenate([[free.sum()], *(np.bincount(_level(u), minlength=LEVELS + 1) for u in z)]).astype(float)
+
+
+def _moments(past: Past, near: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of what was given to each view the weight, and weighted sums of differences from ``near`` and of their squares."""
+    _, given = _taken(past, a, b)
+    parts = []
+    for x, (_, w), at in zip((a, b), given, near):
+        d, own = x[w > 0] - at, w[w > 0]
+        parts += [[own.sum()], own @ d, own @ (d * d)]
+    return np.concatenate(parts)
+
+
+def _curves(past: Past, views: Views, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of what was given to each view the curvature and the slope of the loss."""
+    _, given = _taken(past, a, b)
+    return np.concatenate([p.ravel() for v, x, (y, w) in zip(views, (a, b), given) for p in v.curve(x[w > 0], y[w > 0], w[w > 0])])
+
+
+def _refit(sets: list[tuple[np.ndarray, np.ndarray]], pool: LocalPool | StoredPool, past: Past) -> Views:
+    """Both views on their labelled rows and all that the other one labelled, as ``Logistic.fit`` of these rows together."""
+    near = [x.mean(0) for x, _ in sets]
+    sums, views, at = pool.total(partial(_moments, past, near)), [], 0
+    for (x, _), mid in zip(sets, near):
+        k = x.shape[1]
+        n, s, q = len(x) + sums[at], sums[at + 1 : at + 1 + k], sums[at + 1 + k : at + 1 + 2 * k] + ((x - mid) ** 2).sum(0)
+        at += 1 + 2 * k
+        views.append(Logistic(mid + s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)) + 1e-6, np.zeros(k + 1)))
+    for _ in range(25):
+        sums, at, most = pool.total(partial(_curves, past, tuple(views))), 0, 0.0
+        for i, (view, own) in enumerate(zip(views, sets)):
+            k = len(view.theta)
+            curve, slope = view.curve(*own)
+            step = view.step(curve + sums[at : at + k * k].reshape(k, k), slope + sums[at + k * k : at + k * k + k])
+            at += k * k + k
+            views[i] = Logistic(view.mean, view.scale, view.theta - np.clip(step, -4, 4))
+            most = max(most, np.abs(step).max())
+        if most < 1e-7:
+            break
+    return tuple(views)
+
+
+def _cut(counts: np.ndarray, per: int, mass: float) -> Cut:
+    """The highest level at or above which there are ``per`` rows, the lowest one if there are fewer; and their weight."""
+    above = counts[::-1].cumsum()[::-1]
+    level = max(1, int((above >= per).sum()) - 1)
+    return level, min(1.0, mass / max(1.0, above[level]))
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Callable[[], StoredPool], rounds: int = ROUNDS) -> CoTrained:
     n, pos = len(y), float(y.sum())
     model = CoTrained((pos + 0.5) / (n + 1))
     aside = np.arange(n) % 3 == 0
     if min(y[~aside].sum(), (1 - y[~aside]).sum()) < 1 or min(y[aside].sum(), (1 - y[aside]).sum()) < 1:
         return model
-    sets = [[x[~aside], y[~aside]] for x in labelled]
-    free = np.ones(len(pool[0]), bool)
-    views = [Logistic.fit(*s) for s in sets]
+    rows = pool() if callable(pool) else LocalPool(*pool)
+    sets = [(x[~aside], y[~aside]) for x in labelled]
+    views, past, per = tuple(Logistic.fit(*s) for s in sets), [], 0
     for _ in range(rounds):
-        per = int(SHARE * len(free))
-        if not per or free.sum() < 2 * per:
+        free, *counts = np.split(rows.total(partial(_histogram, past, views)), [1, *(1 + k * (LEVELS + 1) for k in (1, 2, 3))])
+        per = per or int(SHARE * free[0])
+        if not per or free[0] < 2 * per:
             break
-        given = []
-        for view, own in zip(views, pool):
-            z = np.where(free, view.logit(own), np.nan)
-            order = np.argsort(z)[: int(free.sum())]  # nan last
-            sure = [(order[-per:], 1.0), (order[:per], 0.0)]
-            given.append([(i[z[i] > 2] if label else i[z[i] < -2], label) for i, label in sure])
-        for other, picks in ((1, given[0]), (0, given[1])):  # each view's labels go to the other one
-            for i, label in picks:
-                sets[other][0] = np.concatenate([sets[other][0], pool[other][i]])
-                sets[other][1] = np.concatenate([sets[other][1], np.full(len(i), label)])
-                free[i] = False
-        views = [Logistic.fit(*s) for s in sets]
+        cuts = [_cut(c, per, MASS * len(sets[0][1])) for c in counts]
+        past.append((views, [(cuts[0], cuts[1]), (cuts[2], cuts[3])]))
+        views = _refit(sets, rows, past)
     z = [v.logit(x[aside]) for v, x in zip(views, labelled)]
-    model.views = tuple(views)
+    model.views = views
     model.single = tuple(Logistic.fit(u[:, None], y[aside], 0.1) for u in z)
     model.both = Logistic.fit(np.column_stack(z), y[aside], 0.1)
     return model
@@ -143,28 +270,42 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
+    """doc_id, y and both views' features as bytes of single floats, one after the other."""
+
     def run(batch: pa.RecordBatch) -> dict:
-        a, b = _views(batch)
-        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "a": list(a), "b": list(b)}
+        x = np.concatenate(_views(batch), 1).astype(np.float32)
+        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [r.tobytes() for r in x]}
+
+    return map_columns(docs, run, "doc_id long, y int, x binary")
+
 
-    return map_columns(docs, run, "doc_id long, y int, a array<double>, b array<double>")
+def _unpacked(column: pa.Array | pa.ChunkedArray, widths: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, sum(widths)).astype(float)
+    return x[:, : widths[0]], x[:, widths[0] :]
 
 
 INPUTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     allowed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0
-    chosen = given.where(allowed).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = docs.select("doc_id").where("doc_id is not null").join(given, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).withColumn("y", F.lit(-1))
-    wanted = chosen.unionByName(pool)  # max_labelled + max_pool rows at most
-    got = _featured(docs.select(*INPUTS).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])).toArrow().sort_by("doc_id")
+    chosen = given.where(allowed).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the documented bound
+    got = _featured(docs.select(*INPUTS).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return CoTrained(0.5)
-    y, a, b = np.array(got["y"].to_pylist()), np.array(got["a"].to_pylist()), np.array(got["b"].to_pylist())
-    own = y >= 0
-    return co_train((a[own], b[own]), y[own].clip(0, 1).astype(float), (a[~own], b[~own]))
+    widths, stored = (len(content_view(None)), len(metadata_view(None, None, None, None))), []
+
+    def unlabelled() -> StoredPool:
+        rest = _featured(docs.select(*INPUTS).withColumn("y", F.lit(-1))).join(given.select("doc_id"), "doc_id", "left_anti")
+        stored.append(materialize(rest.select("x"), "unlabelled"))
+        return StoredPool(stored[0].df, widths)
+
+    try:
+        return co_train(_unpacked(got["x"], widths), np.array(got["y"].to_pylist()).clip(0, 1).astype(float), unlabelled)
+    finally:
+        for s in stored:
+            s.drop()
 
 
 def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
