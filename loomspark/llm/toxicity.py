@@ -35,7 +35,7 @@ from loomspark.llm.batches import map_columns
 from loomspark.session import table
 
 FOLDS = 5
-MAX_EXAMPLES = 8_000
+MAX_EXAMPLES = 12_000
 MIN_CHI2 = 30.0
 MIN_DOCS = 4
 STEMS = (4, 5)
@@ -134,13 +134,17 @@ class BlockMaxIndex:
             if bound[order[at]] <= 0 or len(best) >= k and bound[order[at]] < best[-1][0] - 1e-9:
                 break
             blocks = order[at : at + AT_ONCE]
+            if len(best) >= k:  # a block of later numbers that can only tie with the last gives nothing
+                last, number = best[-1]
+                blocks = np.array([b for b in blocks if b * BLOCK <= number or round(float(bound[b]) + 1e-12, 9) > round(last, 9)], int)
+                if not len(blocks):
+                    continue
             scores = np.einsum("t,tbi->bi", q, self.weights[self.row[own][:, blocks]])
             least = max(best[-1][0] - 1e-9, 0) if len(best) >= k else 0
             b, i = np.nonzero(scores > least)
             numbers = blocks[b] * BLOCK + i
-            if len(numbers) > k + 1:  # the best k of these and all that tie with the last
-                floor = np.partition(scores[b, i], -k - 1)[-k - 1] - 1e-9
-                few = scores[b, i] >= floor
+            if len(numbers) > k + 1:  # the best of these, and one more for the one that is skipped
+                few = np.lexsort((numbers, -np.round(scores[b, i], 9)))[: k + 1]
                 b, i, numbers = b[few], i[few], numbers[few]
             best += [(float(s), int(x)) for s, x in zip(scores[b, i], numbers) if x != skip]
             best = sorted(best, key=lambda x: (-round(x[0], 9), x[1]))[:k]

@@ -39,6 +39,17 @@ def test_nearest_is_exact():
         assert np.allclose([s for s, _ in got], [-s for s, _ in want])
 
 
+def test_ties_go_by_number():
+    r = random.Random(6)
+    vs = [{"a": 1.0} if r.random() < 0.7 else {"a": 0.6, "b": 0.8} for _ in range(900)]
+    index = t.BlockMaxIndex.build(vs)
+    for q in ({"a": 1.0}, {"b": 1.0}, {"a": 0.8, "b": 0.6}):
+        for skip in (-1, 0, 1, 5, 899):
+            sims = [sum(w * v.get(x, 0) for x, w in q.items()) for v in vs]
+            want = sorted((-round(s, 9), i) for i, s in enumerate(sims) if s > 0 and i != skip)[:15]
+            assert [i for _, i in index.nearest(q, 15, skip)] == [i for _, i in want]
+
+
 def test_rare_toxic_term_is_kept():
     """A term in 1 per cent of the toxic examples tells, and a text with it alone has toxic neighbours."""
     texts, labels = [], []
@@ -67,6 +78,13 @@ def test_held_out_accuracy_and_evidence(spark):
     assert kept.schema.names == docs.schema.names and kept.count() == sum(1 - r.predicted for r in got.values())
 
 
+def test_more_than_8000_examples(spark):
+    rows = [(i, f"plain {'fool' if i % 10 == 0 else 'nice'}") for i in range(10_400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = t.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sorted(model.ids) == [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5] and len(model.ids) > 8_000
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a"), (1, None), (2, ""), (2, ""), (3, "x " * 50000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
