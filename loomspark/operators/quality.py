@@ -12,6 +12,7 @@ from loomspark.functions.paths import basename, dirname
 DEFAULT_CHECKS = ("index_failed", "broken_link", "orphan", "not_in_index", "fragment", "oversized", "orphan_chunk", "near_duplicate", "duplicate_content")
 ALL_CHECKS = (*DEFAULT_CHECKS, "no_frontmatter", "island", "stale")
 LINK_CHECKS = ("broken_link", "orphan", "not_in_index")
+PAIR_CHECKS = ("near_duplicate", "duplicate_content", "stale")
 CONVENTIONS = ("readme.md", "index.md", "changelog.md", "license.md", "agents.md", "claude.md", "skill.md", "memory.md")
 SIMILAR, ISLAND, NAVIGATION, TINY, FRAGMENT, OVERSIZED, STALE_DAYS = 0.84, 0.50, 0.30, 20, 100, 50, 120
 
@@ -137,16 +138,23 @@ def island(chunks: DataFrame, nearest: DataFrame, below: float = ISLAND) -> Data
     return finding("island", alone, F.col("chunk_id"), F.col("chunk_id"), F.col("nearest"))
 
 
-def run_checks(docs: DataFrame, chunks: DataFrame, links: DataFrame, described: DataFrame | None = None, checks: tuple[str, ...] = DEFAULT_CHECKS, graph_built: bool | None = None) -> DataFrame:
-    """The findings of several checks; link checks are left out while the link graph was never built."""
+def run_checks(docs: DataFrame, chunks: DataFrame, links: DataFrame, described: DataFrame | None = None, checks: tuple[str, ...] = DEFAULT_CHECKS, graph_built: bool | None = None, nearest: DataFrame | None = None) -> DataFrame:
+    """The findings of several checks; link checks are left out while the link graph was never built.
+
+    Checks of similar pairs need ``described``, ``island`` needs ``nearest`` (of ``best_neighbour``).
+    """
     unknown = set(checks) - set(ALL_CHECKS)
     if unknown:
         raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
+    lacking = [c for c in checks if described is None and c in PAIR_CHECKS or nearest is None and c == "island"]
+    if lacking:
+        raise ValueError(f"no input for checks: {', '.join(lacking)}")
     if graph_built is None:
         graph_built = bool(links.head(1))
     made = {
         "index_failed": lambda: index_failed(docs), "broken_link": lambda: broken_link(links, docs), "orphan": lambda: orphan(docs, links), "not_in_index": lambda: not_in_index(docs, links),
         "fragment": lambda: fragment(docs, chunks), "oversized": lambda: oversized(docs, chunks), "orphan_chunk": lambda: orphan_chunk(chunks, docs), "no_frontmatter": lambda: no_frontmatter(docs),
+        "island": lambda: island(chunks, nearest),
     }
     parts = [f() for c, f in made.items() if c in checks and (graph_built or c not in LINK_CHECKS)]
     if described is not None:
