@@ -1,26 +1,34 @@
-"""Cutting lineage with tables in the folder that all executors share.
+"""Cutting lineage with tables in the folder that all executors share, and checked sizes for broadcasts.
 
 ``materialize`` writes a DataFrame as Parquet below ``spark.checkpoint.dir`` and reads it back, so that
-whatever reads it later survives the loss of any executor. Intermediate tables that nothing lazy still
-refers to are deleted by ``Stored.drop``; the rest go when the session's Python process ends.
+whatever reads it later survives the loss of any executor. The shuffle files of the write go as soon as it has
+ended. Intermediate tables that nothing lazy still refers to are deleted by ``Stored.drop``; the rest go when
+the session's Python process ends.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Only for sessions in one process that name no folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 
 _left: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local default only where the session names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The cluster's shared folder. Without one a session on several machines cannot cut lineage safely."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_DIR
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -44,14 +52,25 @@ def materialize(df: DataFrame, tag: str) -> Stored:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _left[path] = spark
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files whose plans are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, bytes_: int = SMALL_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and so many bytes, read as JSON; at most ``rows`` + 1 rows are read."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return got.n <= rows and (got.b or 0) <= bytes_
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, bytes_: int = SMALL_BYTES) -> DataFrame:
+    """``df``, to be broadcast if it is small by both measures; the planner's shuffle join stays otherwise."""
+    return F.broadcast(df) if is_small(df, rows, bytes_) else df
 
 
 @atexit.register
