@@ -16,9 +16,9 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, rows: int = 512) -> DataFrame:
     """Apply ``fn``, which makes a column dictionary of a small Arrow batch, to every batch of ``df``."""
-    kind = _parse_datatype_string(schema)
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 

@@ -9,8 +9,12 @@ prefix shingle become candidates, bounded by the window's length and the positio
 each is verified against the document's consecutive shingles over the item-sized window. Overlapping hits
 are joined to count the words covered.
 
-Only built-in functions are used. The benchmark's shingles and windows are broadcast if they number at most
-``BROADCAST_ROWS``; beyond that the joins shuffle.
+Benchmark shingles are numbered once, so a document's run is compared with a window's shingles as words, not
+as hashes of them. Only built-in functions are used. The benchmark's shingles and windows are broadcast if they
+number at most ``BROADCAST_ROWS`` and are small in bytes; beyond that the joins shuffle.
+
+``decontaminate`` removes documents by ``CONTAMINATED`` or a rule of the caller's; ``LEAKED`` also takes in long
+documents that hold a whole window, though it is less than a twentieth of their words.
 
 Defined results: null texts have no words; items without words have no window; equal items count each;
 rows are handled one by one even if ids repeat or are null; empty tables give no rows or no hits; further
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loomspark.plans.store import materialize
+from loomspark.plans.store import broadcast_if_small, materialize
 from loomspark.session import table
 
 WINDOW = 13
@@ -50,14 +54,15 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return spread.select("cls", "members", "start", "len", "k", F.expr("transform(sequence(start, start + len - k), i -> array_join(slice(w, i + 1, k), ' '))").alias("shingles"))
 
 
-def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def _small(df: DataFrame) -> DataFrame:
+    return broadcast_if_small(df, BROADCAST_ROWS)
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row per row of ``docs``: id, rid (the row), n_words, n_hit, n_items, items (sorted ids)."""
     windows = materialize(benchmark_windows(items), "windows").df
-    known = windows.select("k", F.explode("shingles").alias("sh")).distinct().withColumn("sid", F.xxhash64("sh"))
+    # a number for each shingle, fixed by being written
+    known = materialize(windows.select("k", F.explode("shingles").alias("sh")).distinct().withColumn("sid", F.monotonically_increasing_id()), "shingles").df
     sizes = [r.k for r in windows.select("k").distinct().collect()]  # SHINGLE values at most
     base = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), words_of("text").alias("w"))
     runs = ", ".join(["array(named_struct('k', 0, 'pos', -1, 'sh', ''))", *(_shingles("w", k) for k in sorted(sizes))])
@@ -66,10 +71,10 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame
     matched = materialize(spread.join(_small(known.unionByName(every_row)), ["k", "sh"]).select("id", "rid", "n_words", "k", "pos", "sid"), "matches").df
 
     counts = matched.where("k > 0").groupBy("sid").count()
-    numbered = windows.select("cls", "members", "start", "len", "k", F.expr("transform(shingles, s -> xxhash64(s))").alias("sids"))
-    ordered = numbered.select("cls", "start", "len", "k", "sids", F.posexplode("sids").alias("at", "sid")).join(counts, "sid", "left")
+    ordered = windows.select("cls", "start", "len", "k", F.posexplode("shingles").alias("at", "sh")).join(known, ["k", "sh"]).join(counts, "sid", "left")
     rarest = F.min_by(F.struct("at", "sid"), F.struct(F.coalesce("count", F.lit(0)), "at"))
-    prefix = ordered.groupBy("cls", "start", "len", "k", "sids").agg(rarest.alias("p"), F.min(F.coalesce("count", F.lit(0))).alias("least")).where("least > 0")
+    sids = F.transform(F.array_sort(F.collect_list(F.struct("at", "sid"))), lambda x: x["sid"]).alias("sids")
+    prefix = ordered.groupBy("cls", "start", "len", "k").agg(rarest.alias("p"), F.min(F.coalesce("count", F.lit(0))).alias("least"), sids).where("least > 0")
     prefix = prefix.select("cls", "len", "k", "sids", F.col("p.at").alias("at"), F.col("p.sid").alias("sid"))
 
     near = Window.partitionBy("rid", "k").orderBy("pos").rowsBetween(-(WINDOW - SHINGLE), WINDOW - SHINGLE)
@@ -94,14 +99,15 @@ def spark_row(spark: SparkSession) -> DataFrame:
 
 
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
+LEAKED = f"n_hit >= {WINDOW} or {CONTAMINATED}"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which less than a twentieth of the words lies in benchmark windows.
+def decontaminate(docs: DataFrame, items: DataFrame, rule: str = CONTAMINATED) -> DataFrame:
+    """The rows of ``docs`` for which ``rule``, an expression over the columns of ``hits``, does not hold.
 
-    An id is removed if any row with it is contaminated; rows without id always stay.
+    An id is removed if the rule holds for any row with it; rows without id always stay.
     """
-    bad = hits(docs, items).where(CONTAMINATED).select(F.col("id").alias("doc_id")).distinct()
+    bad = hits(docs, items).where(rule).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 

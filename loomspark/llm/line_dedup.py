@@ -4,9 +4,11 @@ A line's key is the line stripped of white space at both ends with A-Z lower-cas
 ``MIN_CHARS`` code points are hashed to 128 bits. A first pass over the documents aggregates the hashes
 (combined before the shuffle, so a frequent line costs a row per task) and keeps those held by at least
 two documents, with their number and the smallest document id. Each shard of them becomes a
-``ShardIndex``: a minimal perfect hash whose slots index compact arrays of fingerprints, counts and owners.
-A second pass sends each document's line hashes to the shards, which probe the arrays; a document gets
-back the hashes of the lines that it loses and is rewritten.
+``ShardIndex``: a minimal perfect hash whose slots index compact arrays of fingerprints, counts and owners,
+written as one row of a table. There are as many shards as keep both a shard's keys and the hashes that probe
+it below fixed numbers. A second pass sends each document's line hashes to the shards, which probe the arrays;
+a document gets back the hashes of the lines that it loses and is rewritten. (At scale the index is far larger
+than a task, and every document touches all of it: so hashes go to the shards, not shards to the documents.)
 
 Keys that hold at least 1 / ``HOT_SHARE`` of all occurrences of repeated lines are at most ``HOT_SHARE``;
 their index goes to the documents instead, so no frequent line meets in one shard.
@@ -18,12 +20,11 @@ lines all stay or all go; an empty table gives no rows; all further columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from loomspark.llm.batches import map_columns
 from loomspark.plans.store import materialize
@@ -32,6 +33,7 @@ from loomspark.session import table
 MIN_CHARS = 10
 HOT_SHARE = 1000
 HOT_LEAST = 2000
+SHARD_KEYS, SHARD_PROBES = 500_000, 2_000_000  # of a shard: keys, and hashes of documents
 SPACE = " \t\n\x0b\x0c\r"
 U = np.uint64
 
@@ -77,6 +79,23 @@ class ShardIndex:
         self.prints, self.counts, self.owners = np.empty(n, U), np.empty(n, np.uint32), np.empty(n, np.int64)
         self.prints[slots], self.counts[slots], self.owners[slots] = h2, np.minimum(counts, 0xFFFFFFFF), owners
 
+    def pack(self) -> dict[str, bytes | list[int]]:
+        """The index as a row; the ranks follow from the bits."""
+        words = b"".join(w.tobytes() for w, _, _ in self.levels)
+        return {"bits": [b for _, _, b in self.levels], "words": words, "prints": self.prints.tobytes(), "counts": self.counts.tobytes(), "owners": self.owners.tobytes()}
+
+    @classmethod
+    def unpack(cls, row: dict) -> ShardIndex:
+        index, words, at, placed = cls.__new__(cls), np.frombuffer(row["words"], U), 0, 0
+        index.levels = []
+        for bits in row["bits"]:
+            own = words[at : at + bits // 64]
+            ranks = placed + np.concatenate(([0], np.cumsum(np.bitwise_count(own), dtype=np.int64)))
+            index.levels.append((own, ranks[:-1], bits))
+            at, placed = at + bits // 64, int(ranks[-1])
+        index.prints, index.counts, index.owners = (np.frombuffer(row[c], t) for c, t in (("prints", U), ("counts", np.uint32), ("owners", np.int64)))
+        return index
+
     def _rank(self, level: int, at: np.ndarray) -> np.ndarray:
         words, ranks, _ = self.levels[level]
         word = (at >> U(6)).astype(np.int64)
@@ -118,35 +137,48 @@ def _u(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(U)
 
 
-def _probe(lines: pa.Table, keys: pa.Table) -> pa.Table:
-    """Build a shard's index of ``keys`` and look the documents' ``lines`` up: those that are to go."""
-    if lines.num_rows == 0 or keys.num_rows == 0:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64())})
+INDEX = "shard int, bits array<long>, words binary, prints binary, counts binary, owners binary"
+
+
+def _build(keys: pa.Table) -> pa.Table:
+    """A shard's index of ``keys`` as a row."""
     index = ShardIndex(_u(keys["h1"]), _u(keys["h2"]), keys["holders"].to_numpy(), keys["owner"].to_numpy())
-    slot, ids = index.slots(_u(lines["h1"]), _u(lines["h2"])), lines["doc_id"].to_numpy()
+    return pa.table({"shard": keys["shard"].slice(0, 1), **{k: pa.array([v], pa.list_(pa.int64()) if k == "bits" else pa.binary()) for k, v in index.pack().items()}})
+
+
+def _probe(lines: pa.Table, index: pa.Table) -> pa.Table:
+    """Look the documents' ``lines`` up in their shard's index: those that are to go."""
+    if lines.num_rows == 0 or index.num_rows == 0:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64())})
+    shard = ShardIndex.unpack(index.to_pylist()[0])
+    slot, ids = shard.slots(_u(lines["h1"]), _u(lines["h2"])), lines["doc_id"].to_numpy()
     gone = slot >= 0
-    gone[gone] = (index.counts[slot[gone]] >= 2) & (index.owners[slot[gone]] != ids[gone])
+    gone[gone] = (shard.counts[slot[gone]] >= 2) & (shard.owners[slot[gone]] != ids[gone])
     return pa.table({"doc_id": ids[gone], "h1": lines["h1"].to_numpy()[gone]})
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text rewritten, and n_lines (before) and n_dropped."""
-    spark = docs.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped", shard_keys: int = SHARD_KEYS, shard_probes: int = SHARD_PROBES) -> DataFrame:
+    """``docs`` with the text rewritten, and two columns: the number of lines before, and of those dropped."""
     held = _line_hashes(docs).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders"))
-    keys = materialize(held.where("owner <> last").drop("last"), "lines").df
-    least = max(HOT_LEAST, (keys.agg(F.sum("holders")).first()[0] or 0) // HOT_SHARE)
-    hot = {np.array([r.h1, r.h2], "<i8").tobytes(): r.owner for r in keys.where(F.col("holders") >= least).collect()}  # HOT_SHARE rows at most
+    seen = Observation()
+    keys = materialize(held.observe(seen, F.sum("holders").alias("n")).where("owner <> last").drop("last"), "lines")
+    n_keys, total = keys.df.agg(F.count(F.lit(1)), F.coalesce(F.sum("holders"), F.lit(0))).first()
+    shards = max(1, -(-n_keys // shard_keys), -(-(seen.get["n"] or 0) // shard_probes))
+    least = max(HOT_LEAST, total // HOT_SHARE)
+    hot = {np.array([r.h1, r.h2], "<i8").tobytes(): r.owner for r in keys.df.where(F.col("holders") >= least).collect()}  # HOT_SHARE rows at most
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
-    sent = _line_hashes(docs, frozenset(hot)).select("doc_id", "h1", "h2", shard).groupBy("shard")
-    rest = keys.where(F.col("holders") < least).select("h1", "h2", "owner", "holders", shard).groupBy("shard")
-    lost = sent.cogroup(rest).applyInArrow(_probe, "doc_id long, h1 long").groupBy("doc_id").agg(F.collect_set("h1").alias("_lost"))
-    return _rewrite(docs.join(lost, "doc_id", "left").select(*docs.columns, "_lost"), hot)
+    rest = keys.df.where(F.col("holders") < least).select("h1", "h2", "owner", "holders", shard)
+    index = materialize(rest.groupBy("shard").applyInArrow(_build, INDEX), "line-index").df
+    keys.drop()
+    sent = _line_hashes(docs, frozenset(hot)).select("doc_id", "h1", "h2", shard)
+    lost = sent.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "doc_id long, h1 long").groupBy("doc_id").agg(F.collect_set("h1").alias("_lost"))
+    # two rows of one document lose the same lines
+    return _rewrite(docs.join(lost.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc"), hot, n_lines, n_dropped)
 
 
-def _rewrite(docs: DataFrame, hot: dict[bytes, int]) -> DataFrame:
-    names = [c for c in docs.columns if c != "_lost"]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_lost", "n_lines", "n_dropped"))
+def _rewrite(docs: DataFrame, hot: dict[bytes, int], n_lines: str, n_dropped: str) -> DataFrame:
+    names = [c for c in docs.columns if c not in ("_lost", n_lines, n_dropped)]
+    kind = StructType([docs.schema[c] for c in names]).add(n_lines, "long").add(n_dropped, "long")
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, before, dropped = [], [], []
@@ -164,9 +196,9 @@ def _rewrite(docs: DataFrame, hot: dict[bytes, int]) -> DataFrame:
             texts.append(t if len(stay) == len(lines) else "\n".join(stay))
             before.append(len(lines))
             dropped.append(len(lines) - len(stay))
-        return {c: batch.column(c) for c in names} | {"text": texts, "n_lines": before, "n_dropped": dropped}
+        return {c: batch.column(c) for c in names} | {"text": texts, n_lines: before, n_dropped: dropped}
 
-    return map_columns(docs, run, f"{kind}, n_lines long, n_dropped long")
+    return map_columns(docs, run, kind)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,7 +277,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         kept = batch.filter(keep)
         return {c: kept.column(c) for c in names}
 
-    return map_columns(docs, run, docs.schema.simpleString())
+    return map_columns(docs, run, docs.schema)
 
 
 def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

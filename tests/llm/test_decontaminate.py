@@ -47,5 +47,10 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == want
     bad = {d for d, n, h, _, _ in want if h > 0 and 20 * h >= n and d is not None}
     assert sorted(repr(r.doc_id) for r in m.decontaminate(df, it).collect()) == sorted(repr(d) for d, _ in docs if d not in bad)
+    leaked = {d for d, n, h, _, _ in want if d is not None and (h >= 13 or h > 0 and 20 * h >= n)}
+    long = [(90, "word " * 5000 + items[-1][1] + "word " * 5000), (91, "word " * 9000)]
+    more = df.unionByName(spark.createDataFrame([(*x, 1, "s") for x in long], df.schema))
+    assert {r.doc_id for r in m.decontaminate(more, it, m.LEAKED).collect()} == {d for d, _ in docs if d not in leaked} | {91}
+    assert {90, 91} <= {r.doc_id for r in m.decontaminate(more, it).collect()}
     assert m.hits(df.limit(0), it).count() == 0
     assert all(r.n_hit == 0 for r in m.hits(df, it.limit(0)).collect())
