@@ -19,10 +19,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in the first document only; n_chars is counted anew."""
-    cut = line_dedup.dedup_lines(docs)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Repeated lines stay in the first document only; n_chars is counted anew.
+
+    A document of which nothing but white space is left goes: all that it said is kept elsewhere.
+    """
+    cut = line_dedup.dedup_lines(docs, n_lines="_n_lines", n_dropped="_n_dropped").where("_n_dropped = 0 or text rlike '[^ \\t-\\r]'")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words in benchmark windows go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents go that hold a benchmark window of full length, or a twentieth of whose words lie in windows."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), decontaminate.LEAKED)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
