@@ -1,9 +1,10 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
-from loomspark.llm.packing import Encoder, pack_group, pack_with_public_ranks
+from loomspark.llm.packing import STEP_TOKENS, Encoder, pack_group, pack_with_public_ranks
 
 
 def check_group(tokens, context=1024):
@@ -42,8 +43,7 @@ def test_against_the_other_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = {1: None, 2: "", 3: "the the of", 4: "word " * 3000, 5: "é\n\n  x  y", 6: "the the of"}
+    texts = {1: None, 2: "", 3: "the the of", 4: "word " * 3000, 5: "é\n\n  x  y", 6: "the the of", 7: "x <|endoftext|> y", 8: "<|endoftext|><|endoftext|>  a\n <|endoftext|", 9: " <|endoftext|>"}
     df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, length string")
     rows = pack_with_public_ranks(df).collect()
     fills = {}
@@ -63,4 +63,25 @@ def test_against_the_other_library(spark):
             assert offset == at
             at += n
         assert at <= 1024
+    steps = {}
+    for r in {r.sequence_id: r for r in rows}.values():
+        steps.setdefault(r.tier, []).append(r.step_group)
+    for tier, own in steps.items():
+        sizes = [own.count(g) for g in set(own)]
+        assert max(sizes) * tier <= STEP_TOKENS and max(sizes) - min(sizes) <= 4  # over up to four partitions
     assert pack_with_public_ranks(df.limit(0)).count() == 0
+
+
+def test_ids_of_a_whole_table():
+    import json
+
+    import public_tokenizers as P
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    special = {x["content"]: x["id"] for x in json.load(open(P.path("byte_bpe_50k.json")))["added_tokens"]}
+    e = Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for text, got in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert np.array(got.ids, "<u4").tobytes() == e.encode(text)
