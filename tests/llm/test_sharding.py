@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from loomspark.llm import sharding as m
@@ -13,6 +14,15 @@ def test_permutation(spark, n):
         assert got != list(range(n)) and got != [r.p for r in spark.range(n).selectExpr(f"{m.permuted('id', n, 1)} as p").collect()]
 
 
+def test_walks_end_for_every_number():
+    for n in range(1, 3000):
+        a, b, walks = m.grid(n)
+        v = m.permute(np.arange(n), a, b)
+        for _ in range(walks):
+            v = np.where(v < n, v, m.permute(v, a, b))
+        assert sorted(v) == list(range(n))
+
+
 def test_shards(spark):
     rows = [(i, f"text {i}" * (i % 5)) for i in range(200)] + [(5, "text 5"), (5, "text 5"), (None, "n"), (None, None), (7, ""), (-3, "é" * 90_000)]
     make = lambda parts: spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n string").repartition(parts)
