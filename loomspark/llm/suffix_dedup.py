@@ -12,12 +12,16 @@ the suffixes of the whole corpus would send every byte through a shuffle many ti
    smaller document shares the anchor: the ends of repeated passages.
 3. Suffix arrays. The texts of these contexts and of those they compete with are gathered by anchor, joined
    to strings and sorted by ``suffix_array``; neighbours that agree in ``LENGTH`` bytes form classes, whose
-   least document id decides. An anchor with more than ``CHUNK`` contexts is split over many strings, and
-   the classes of all its strings are merged by a digest of their bytes with an ordinary aggregate.
+   least document id decides. Contexts of an anchor that has more than ``CHUNK`` of them are dealt to strings by
+   the bytes beside it: a window reaches ``GRAM`` bytes before the anchor or ``GRAM`` bytes behind it, so equal
+   windows meet in the string of one side or the other. A string that is still longer than ``STRING_MAX`` is
+   split in the same way by further bytes on either side.
 4. Every document is cut once, with the spans of steps 2 and 3.
 
-Rows move between steps packed by hash bucket, a row for each slice and bucket, so hot anchors cost no more
-than others. Hashes have 64 bits and decide together with the context's 64; digests have 128.
+Rows move between steps packed by hash bucket, a row for each slice and bucket. There are as many buckets as
+keep the text that belongs to one, and so what a task holds, at about ``BUCKET_BYTES``. Contexts are reduced
+before they are sent, so an anchor costs a row for each different context and slice; the different contexts
+of one anchor do meet in one task. Hashes of anchor and context, 96 bits together, stand for their bytes.
 
 Defined results: null texts count as empty; texts shorter than ``LENGTH`` stay; rows with one doc_id are one
 document, and never remove from each other; a row without id stays whole and removes from none; an empty
@@ -31,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomspark.llm.suffixes import suffix_array
@@ -42,7 +45,8 @@ LENGTH = 50
 GRAM = 16
 SLICE = 2_000_000  # bytes of text that are worked on at once
 CHUNK = 3000  # contexts of one anchor in a suffix array
-STRING = 12_000  # bytes of a suffix array, about
+STRING, STRING_MAX = 12_000, 200_000  # bytes of a suffix array, about and at most
+BUCKET_BYTES = 16 << 20  # of text that belongs to a bucket, about
 U = np.uint64
 PIECE = 250_000  # bytes that are hashed at once
 #: before and behind: of the anchor with the GRAM bytes beside it, which any shared window has on one side
@@ -61,8 +65,9 @@ def _join(x: np.ndarray, shift: int, prime: int) -> np.ndarray:
     return _stir(x[:-shift] * _PRIMES[prime] + x[shift:])
 
 
-def doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (np.abs(ids) % 2147483647 * 48271 % 2147483647 % n).astype(np.int32)
+def doc_bucket(rows: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each row's document and text."""
+    return ((np.abs(rows["doc"]) % 2147483647 * 48271 + rows["check"]) % 2147483647 * 69621 % 2147483647 % n).astype(np.int32)
 
 
 def anchors_of(texts: list[bytes], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +203,7 @@ def _by_slice(n: int, piece: int = PIECE, slice_: int = SLICE):
             gone = np.empty(len(entries), bool)
             gone[order] = entries["doc"][order] > by_context
             cuts = _cuts(entries[gone])
-            return _batch([*_pack(entries[~gone], (_stir(full[~gone]) % U(n)).astype(np.int32), ENTRIES), *_pack(cuts, doc_bucket(cuts["doc"], n), CUTS)])
+            return _batch([*_pack(entries[~gone], (_stir(full[~gone]) % U(n)).astype(np.int32), ENTRIES), *_pack(cuts, doc_bucket(cuts, n), CUTS)])
 
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -242,22 +247,14 @@ def _by_side(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray, asking: np.n
 def _by_anchor(n: int, chunk: int = CHUNK):
     """Step 2: cuts, and the contexts that the suffix arrays are to compare, packed by document bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        payloads = []
-        for batch in batches:
-            for bucket, kind, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "payload"))):
-                if kind == ENTRIES:
-                    payloads.append(data)
-                else:  # cuts of step 1 pass through
-                    yield _batch([(bucket, kind, data)])
-        entries = _unpack(payloads, ENTRY)
-        payloads.clear()
-        if not len(entries):
-            return
+    def run(rows: pa.Table) -> pa.Table:
+        kinds = rows["kind"].to_numpy()
+        out = [(b, CUTS, data) for b, kind, data in zip(rows["bucket"].to_pylist(), kinds, rows["payload"].to_pylist()) if kind == CUTS]  # of step 1
+        entries = _unpack(rows.filter(pa.array(kinds == ENTRIES))["payload"].to_pylist(), ENTRY)
         order, by_context, by_anchor = least_docs(entries)
         gone = entries["doc"][order] > by_context
         cuts = _cuts(entries[order[gone]])
-        out = [*_pack(cuts, doc_bucket(cuts["doc"], n), CUTS)]
+        out += _pack(cuts, doc_bucket(cuts, n), CUTS)
         shared = np.zeros(len(entries), bool)  # least of their context, in groups of more than one context's least
         shared[order[~gone]] = True
         asking = np.zeros(len(entries), bool)
@@ -267,22 +264,24 @@ def _by_anchor(n: int, chunk: int = CHUNK):
             at = np.minimum(np.searchsorted(names, entries["anchor"]), len(names) - 1)
             some = entries[shared & (names[at] == entries["anchor"])]
             asks = asking[shared & (names[at] == entries["anchor"])]
-            left, left_wanted = _by_side(some["anchor"], some["before"], some["doc"], asks)
-            right, right_wanted = _by_side(some["anchor"], some["behind"], some["doc"], asks)
-            keep = left_wanted | right_wanted
-            some, asks = some[keep], (asks & (left | right))[keep]
-            rank = np.lexsort((some["pos"], some["doc"], some["anchor"]))
-            some, asks = some[rank], asks[rank]
-            need = np.empty(len(some), NEED)
-            for f in ("anchor", "doc", "check", "pos", "left", "right"):
-                need[f] = some[f]
-            need["asks"] = asks
-            # contexts of a frequent anchor are dealt to several strings
-            _, start, counts = np.unique(some["anchor"], return_index=True, return_counts=True)
-            need["lot"] = np.where(np.repeat(counts, counts) > chunk, (np.arange(len(some)) - np.repeat(start, counts)) // chunk + 1, 0)
-            out += _pack(need, doc_bucket(need["doc"], n), NEEDS)
-        for a in range(0, len(out), 64):
-            yield _batch(out[a : a + 64])
+            before, before_wanted = _by_side(some["anchor"], some["before"], some["doc"], asks)
+            behind, behind_wanted = _by_side(some["anchor"], some["behind"], some["doc"], asks)
+            keep = before_wanted | behind_wanted
+            _, group, counts = np.unique(some["anchor"][keep], return_inverse=True, return_counts=True)
+            lots = np.zeros(len(some), np.int64)
+            lots[keep] = -(-counts // chunk)[group]
+            parts = []  # whole anchors, and of frequent ones the strings of either side
+            for wanted, smaller, side in ((keep & (lots == 1), before | behind, None), (before_wanted & (lots > 1), before, "before"), (behind_wanted & (lots > 1), behind, "behind")):
+                own = some[wanted]
+                need = np.empty(len(own), NEED)
+                for f in ("anchor", "doc", "check", "pos", "left", "right"):
+                    need[f] = own[f]
+                need["asks"] = (asks & smaller)[wanted]
+                need["lot"] = 0 if side is None else own[side] % lots[wanted] * 2 + (1 if side == "before" else 2)
+                parts.append(need)
+            need = np.concatenate(parts)
+            out += _pack(need, doc_bucket(need, n), NEEDS)
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
@@ -300,15 +299,15 @@ def _fetch(docs: pa.Table, packed: pa.Table) -> pa.Table:
     """Step 3: the texts of the contexts, a row for each."""
     need = _unpack(packed["payload"].to_pylist(), NEED)
     texts = _texts(docs)
-    cols: list[list] = [[] for _ in range(7)]
+    cols: list[list] = [[] for _ in range(8)]
     for anchor, doc, check, pos, left, right, asks, lot in need.tolist():
         a = pos - left
-        for col, v in zip(cols, (anchor, lot, doc, check, a, bool(asks), texts[doc, check][a : pos + GRAM + right])):
+        for col, v in zip(cols, (anchor, lot, doc, check, a, left, bool(asks), texts[doc, check][a : pos + GRAM + right])):
             col.append(v)
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(("anchor", "lot", "doc", "check", "start", "asks", "bytes"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))})
+    return pa.table({k: pa.array(c, t) for k, c, t in zip(("anchor", "lot", "doc", "check", "start", "left", "asks", "bytes"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))})
 
 
-CONTEXTS = "anchor long, lot int, doc long, check long, start int, asks boolean, bytes binary"
+CONTEXTS = "anchor long, lot int, doc long, check long, start int, left int, asks boolean, bytes binary"
 
 
 def classes(contexts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -327,56 +326,84 @@ def classes(contexts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndar
     return number, context, order - begin[context], least
 
 
-DECIDED = "doc long, check long, start int, end int, d1 long, d2 long, least long"
+def shared_windows(contexts: list[bytes], lefts: list[int], docs: list[int], asks: list[bool], most: int = STRING_MAX) -> Iterator[tuple[int, int]]:
+    """(context, offset) of the windows of asking contexts that a context of a smaller document has too.
 
+    All contexts hold one anchor, at ``lefts``. Rows whose bytes do not fit in one string are dealt by the bytes
+    beside what they have in common: with c bytes in common, a window reaches half of the other ``LENGTH`` - c
+    bytes to the left or to the right of them, so equal windows meet on one side; at ``LENGTH`` bytes in common the
+    rows are one class.
+    """
+    heap: list[tuple[list[int], int, int]] = [(list(range(len(contexts))), 0, 0)]
+    while heap:
+        rows, a, b = heap.pop()
+        least = min(docs[i] for i in rows)
+        if not any(asks[i] and docs[i] > least for i in rows):
+            continue
+        rest = LENGTH - GRAM - a - b
+        if not rest:
+            yield from ((i, lefts[i] - a) for i in rows if asks[i] and docs[i] > least)
+        elif sum(len(contexts[i]) + 1 for i in rows) <= most:
+            number, context, offset, first = classes([contexts[i] for i in rows], [docs[i] for i in rows])
+            yield from ((i, o) for i, o, d in zip((rows[c] for c in context), offset.tolist(), first.tolist()) if asks[i] and docs[i] > d)
+        else:
+            e = -(-rest // 2)
+            sides: dict[tuple[bool, bytes], list[int]] = {}
+            for i in rows:
+                at, end = lefts[i] - a, lefts[i] + GRAM + b
+                if at >= e:
+                    sides.setdefault((True, contexts[i][at - e : at]), []).append(i)
+                if len(contexts[i]) - end >= e:
+                    sides.setdefault((False, contexts[i][end : end + e]), []).append(i)
+            heap += [(own, a + e, b) if left else (own, a, b + e) for (left, _), own in sides.items() if len(own) > 1]
+
+
+def _by_suffix(n: int, most: int = STRING_MAX):
+    """Step 3: cuts from the suffix arrays, packed by document bucket. Anchors with few contexts share a string."""
 
-def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts from the suffix arrays. Those of frequent anchors still need the classes of their other strings: they have a digest."""
-    rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if rows is None:
-        return
-    rows = rows.sort_by([("lot", "ascending"), ("anchor", "ascending"), ("doc", "ascending"), ("start", "ascending")])
-    anchor, lot, doc, check, start, asks, data = (rows[c].to_pylist() for c in ("anchor", "lot", "doc", "check", "start", "asks", "bytes"))
-    doc_ids, asking = np.array(doc, np.int64), np.array(asks, bool)
-    plain: list[tuple] = []
-    out: list[tuple] = []
-
-    def solve(a: int, b: int) -> None:
-        number, context, offset, least = classes(data[a:b], doc[a:b])
-        mine = asking[a + context]
-        if not lot[a]:
-            hit = np.flatnonzero(mine & (doc_ids[a + context] > least))
-            plain.extend((doc[i], check[i], s := start[i] + int(o), s + LENGTH) for i, o in zip((a + context[hit]).tolist(), offset[hit].tolist()))
-            return
-        for k in np.flatnonzero(np.diff(number, prepend=-1)):  # a class begins
-            end = k + int(np.searchsorted(number[k:], number[k], side="right"))
-            c, o = int(context[k]), int(offset[k])
-            d = np.frombuffer(xxhash.xxh3_128_digest(data[a + c][o : o + LENGTH]), "<i8").tolist()
-            out.append((None, None, None, None, *d, int(least[k])))
-            out.extend((doc[a + i], check[a + i], s := start[a + i] + int(q), s + LENGTH, *d, None) for i, q, m in zip(context[k:end].tolist(), offset[k:end].tolist(), mine[k:end]) if m)
-
-    a, held = 0, 0
-    for b in range(len(data)):
-        held += len(data[b]) + 1
-        end = b + 1 == len(data) or (anchor[b + 1], lot[b + 1]) != (anchor[b], lot[b])
-        if end and (held >= STRING or b + 1 == len(data) or lot[b] or lot[b + 1]):
-            solve(a, b + 1)
-            a, held = b + 1, 0
-    out += [(*c, None, None, None) for c in merged(np.array(plain, CUT)).tolist()]
-    names = [c.split()[0] for c in DECIDED.split(", ")]
-    kinds = {"start": pa.int32(), "end": pa.int32()}
-    cols = list(zip(*out)) or [()] * len(names)
-    yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, cols)], names=names)
-
-
-def _pack_cuts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = np.empty(batch.num_rows, CUT)
-            for f in CUT.names:
-                cuts[f] = batch.column(f).to_numpy(zero_copy_only=False)
-            cuts = merged(cuts)
-            yield _batch([*_pack(cuts, doc_bucket(cuts["doc"], n), CUTS)])
+        if not (got := list(batches)):
+            return
+        rows = pa.Table.from_batches(got).sort_by([("anchor", "ascending"), ("lot", "ascending"), ("doc", "ascending"), ("start", "ascending")])
+        anchor, lot, doc, check, start, left, asks, data = (rows[c].to_pylist() for c in ("anchor", "lot", "doc", "check", "start", "left", "asks", "bytes"))
+        found: list[np.ndarray] = []
+
+        def cut(at: list[int], offset: list[int]) -> None:
+            some = np.empty(len(at), CUT)
+            some["doc"], some["check"] = [doc[i] for i in at], [check[i] for i in at]
+            some["start"] = [start[i] + o for i, o in zip(at, offset)]
+            some["end"] = some["start"] + LENGTH
+            found.append(merged(some))
+
+        def solve(a: int, b: int, mixed: bool) -> None:
+            if mixed or sum(map(len, data[a:b])) + b - a <= most:
+                _, context, offset, least = classes(data[a:b], doc[a:b])
+                hits = [(a + i, o) for i, o, d in zip(context.tolist(), offset.tolist(), least.tolist()) if asks[a + i] and doc[a + i] > d]
+            else:
+                hits = [(a + i, o) for i, o in shared_windows(data[a:b], left[a:b], doc[a:b], asks[a:b], most)]
+            if hits:
+                cut(*map(list, zip(*hits)))
+
+        a = first = held = 0  # of the string, of the anchor, and the string's bytes before the anchor
+        size = 0
+        for b in range(1, len(data) + 1):
+            size += len(data[b - 1]) + 1
+            if b < len(data) and (anchor[b], lot[b]) == (anchor[first], lot[first]):
+                continue
+            if size >= STRING:  # an anchor by itself
+                if first > a:
+                    solve(a, first, True)
+                solve(first, b, False)
+                a, held = b, 0
+            elif held + size >= STRING or b == len(data):
+                solve(a, b, True)
+                a, held = b, 0
+            else:
+                held += size
+            first, size = b, 0
+        if found:
+            cuts = merged(np.concatenate(found))
+            yield _batch([*_pack(cuts, doc_bucket(cuts, n), CUTS)])
 
     return run
 
@@ -404,24 +431,21 @@ def _apply(docs: pa.Table, packed: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs["doc_id"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def dedup_substrings(docs: DataFrame, chunk: int = CHUNK, piece: int = PIECE, slice_: int = SLICE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, chunk: int = CHUNK, piece: int = PIECE, slice_: int = SLICE, most: int = STRING_MAX, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that are kept, a row for each row of ``docs``.
 
-    The sizes (contexts in a suffix array, bytes hashed and bytes reduced at once) set memory, not results.
+    The sizes (contexts in a suffix array, bytes hashed and reduced at once, of a string and of a bucket) set memory,
+    not results.
     """
-    spark = docs.sparkSession
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bucket = F.expr(f"cast(abs(coalesce(doc_id, 0)) % 2147483647 * 48271 % 2147483647 % {n} as int)")
-    dealt = texts.withColumn("bucket", bucket).groupBy("bucket")
-    packed = materialize(texts.mapInArrow(_by_slice(n, piece, slice_), PACKED).repartition(n, "bucket").mapInArrow(_by_anchor(n, chunk), PACKED), "anchors").df
-    wanted = packed.where(f"kind = {NEEDS}").groupBy("bucket")
-    contexts = dealt.cogroup(wanted).applyInArrow(_fetch, CONTEXTS)
-    decided = materialize(contexts.repartition(n, "anchor", "lot").mapInArrow(_by_suffix, DECIDED), "suffixes").df
-    least = decided.where("doc is null").groupBy("d1", "d2").agg(F.min("least").alias("first"))
-    frequent = decided.where("doc is not null and d1 is not null").join(least, ["d1", "d2"]).where("doc > first")
-    cut = decided.where("d1 is null").select(*CUT.names).unionByName(frequent.select(*CUT.names))
-    cuts = packed.where(f"kind = {CUTS}").unionByName(cut.mapInArrow(_pack_cuts(n), PACKED)).groupBy("bucket")
+    n = max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")
+    dealt = texts.withColumn("crc", crc).withColumn("bucket", F.expr(f"cast((abs(coalesce(doc_id, 0)) % 2147483647 * 48271 + crc) % 2147483647 * 69621 % 2147483647 % {n} as int)")).drop("crc").groupBy("bucket")
+    packed = materialize(texts.mapInArrow(_by_slice(n, piece, slice_), PACKED).groupBy("bucket").applyInArrow(_by_anchor(n, chunk), PACKED), "anchors")
+    contexts = dealt.cogroup(packed.df.where(f"kind = {NEEDS}").groupBy("bucket")).applyInArrow(_fetch, CONTEXTS)
+    strings = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = materialize(contexts.repartition(strings, "anchor", "lot").mapInArrow(_by_suffix(n, most), PACKED), "suffixes")
+    cuts = packed.df.where(f"kind = {CUTS}").unionByName(found.df).groupBy("bucket")
     return dealt.cogroup(cuts).applyInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -46,15 +46,27 @@ def corpus(seed, n=120):
     return out
 
 
-@pytest.mark.parametrize("seed,chunk,piece,slice_", [(1, 3000, 250_000, 2_000_000), (2, 5, 2000, 6000)])
-def test_against_all_windows(spark, seed, chunk, piece, slice_):
+@pytest.mark.parametrize("seed,chunk,piece,slice_,most", [(1, 3000, 250_000, 2_000_000, 200_000), (2, 5, 2000, 6000, 300)])
+def test_against_all_windows(spark, monkeypatch, seed, chunk, piece, slice_, most):
+    monkeypatch.setattr(m, "STRING", min(m.STRING, most // 2))
     rows = corpus(seed)
     rows += [(None, rows[0][1]), (9001, None), (9002, ""), (9003, "x" * 49), (9004, "x" * 50), (9005, "x" * 51), rows[5], (9006, "long and " * 20_000), (9007, "and long " * 100)]
     df = spark.createDataFrame([(*x, 1, b"") for x in rows], "doc_id long, text string, bucket int, kept binary").repartition(3)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in m.dedup_substrings(df, chunk, piece, slice_).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in m.dedup_substrings(df, chunk, piece, slice_, most, 50_000).collect()), key=repr)
     assert got == brute(rows)
 
 
+def test_an_anchor_with_thousands_of_contexts(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    phrase, ends = "one phrase that all have", [word() + " " + word() for _ in range(30)]
+    rows = [(i, f"{word()} {word()} {r.choice(ends)} {phrase} {r.choice(ends)} {word()} {word()}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in m.dedup_substrings(df, most=20_000).collect()), key=repr)
+    assert got == brute(rows)
+    assert sum(x[2] > 0 for x in got) > 1000
+
+
 def test_empty_table(spark):
     assert m.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
