@@ -19,35 +19,51 @@ def corpus(n, seed=1):
     return out
 
 
+def vectors(rows):
+    """Sparse rows from dictionaries of term numbers and weights."""
+    ptr = np.cumsum([0, *map(len, rows)])
+    return t.Vectors(ptr, np.array([k for v in rows for k in v], np.int64), np.array([w for v in rows for w in v.values()], float))
+
+
+def brute_nearest(vs, q, skip=-1):
+    sims = [sum(w * float(np.float32(v.get(k, 0))) for k, w in q.items()) for v in vs]
+    return sorted((-round(s, 9), i) for i, s in enumerate(sims) if s > 0 and i != skip)[:15]
+
+
 def test_nearest_is_exact():
     r = random.Random(5)
-    vocab = [f"t{i}" for i in range(40)]
 
     def unit():
-        v = {x: r.random() for x in r.sample(vocab, r.randint(1, 12))}
+        # some terms that most examples have, and many rare ones
+        v = {x: r.random() for x in [*r.sample(range(10), r.randint(1, 8)), *r.sample(range(10, 400), r.randint(0, 12))]}
         n = sum(x * x for x in v.values()) ** 0.5
         return {k: x / n for k, x in v.items()}
 
-    vs = [unit() for _ in range(700)]
-    index = t.BlockMaxIndex.build(vs)
-    for _ in range(60):
-        q = unit()
-        sims = [sum(w * v.get(k, 0) for k, w in q.items()) for v in vs]
-        want = sorted((-round(s, 9), i) for i, s in enumerate(sims) if s > 0)[:15]
-        got = index.nearest(q, 15)
+    vs = [unit() for _ in range(900)]
+    index = t.BlockMaxIndex.build(vectors(vs), 400)
+    assert 0 < len(index.maxima) < 400
+    qs = [unit() for _ in range(300)]
+    for q, got in zip(qs, index.nearest(vectors(qs))):
+        want = brute_nearest(vs, q)
         assert [i for _, i in got] == [i for _, i in want]
         assert np.allclose([s for s, _ in got], [-s for s, _ in want])
 
 
 def test_ties_go_by_number():
     r = random.Random(6)
-    vs = [{"a": 1.0} if r.random() < 0.7 else {"a": 0.6, "b": 0.8} for _ in range(900)]
-    index = t.BlockMaxIndex.build(vs)
-    for q in ({"a": 1.0}, {"b": 1.0}, {"a": 0.8, "b": 0.6}):
-        for skip in (-1, 0, 1, 5, 899):
-            sims = [sum(w * v.get(x, 0) for x, w in q.items()) for v in vs]
-            want = sorted((-round(s, 9), i) for i, s in enumerate(sims) if s > 0 and i != skip)[:15]
-            assert [i for _, i in index.nearest(q, 15, skip)] == [i for _, i in want]
+    vs = [{0: 1.0} if r.random() < 0.7 else {0: 0.6, 1: 0.8} for _ in range(900)]
+    index = t.BlockMaxIndex.build(vectors(vs), 3)
+    qs = [{0: 1.0}, {1: 1.0}, {0: 0.8, 1: 0.6}, {}, {2: 1.0}]
+    for skip in (0, 1, 5, 899):
+        got = index.nearest(vectors(qs), 15, np.full(len(qs), skip))
+        assert [[i for _, i in g] for g in got] == [[i for _, i in brute_nearest(vs, q, skip)] for q in qs]
+
+
+def model_of(texts, labels):
+    hashes, counts = t.counted(texts)
+    model, rows = t.fit(list(range(len(texts))), hashes, counts, labels)
+    t.calibrate(model, rows)
+    return model
 
 
 def test_rare_toxic_term_is_kept():
@@ -57,15 +73,60 @@ def test_rare_toxic_term_is_kept():
         y = int(i % 10 == 0)
         texts.append(f"plain words here {'slurword' if i % 1000 == 0 else 'fool' if y else 'nice'}")
         labels.append(y)
-    model = t.fit(list(range(4000)), texts, labels)
-    assert "slurword" in model.idf or "slurword^" in model.idf or any(x.startswith(("4:slur", "5:slur")) for x in model.idf)
-    score, near = model.score("plain slurword")
-    assert score > 0.5 and sum(labels[model.ids[i]] for _, i in near) == 4
+    model = model_of(texts, labels)
+    ((score, near),) = model.scores(["plain slurword"])
+    assert score > 0.5 and sum(labels[model.ids[i]] for _, i in near) >= 4
+
+
+def test_scores_and_evidence_from_texts():
+    """Against plain dictionaries: every word of every example counts, from the texts to the scores."""
+    rows = corpus(700, 3)
+    texts, labels = [x for _, x, _ in rows], [y for *_, y in rows]
+    model = model_of(texts, labels)
+    n, pos = len(texts), sum(labels)
+    words = [t.words_of(x) for x in texts]
+    df, df1 = {}, {}
+    for w, y in zip(words, labels):
+        for x in w:
+            df[x] = df.get(x, 0) + 1
+            df1[x] = df1.get(x, 0) + y
+    phi = lambda x: abs(n * df1[x] - df[x] * pos) / max(1, df[x] * (n - df[x]) * pos * (n - pos)) ** 0.5
+
+    def unit(c):
+        v = {x: (1 + np.log(k)) * (np.log((1 + n) / (1 + df[x])) + 1) * phi(x) for x, k in c.items() if x in df}
+        size = sum(w * w for w in v.values()) ** 0.5
+        return {x: w / size for x, w in v.items() if w > 0}
+
+    examples = [unit(words[i]) for i in model.ids]
+
+    def vote(v, skip=-1):
+        near = brute_nearest(examples, v, skip)
+        w = [s * s for s, _ in near]
+        return near, (sum(a * labels[model.ids[i]] for a, (_, i) in zip(w, near)) + t.PRIOR_WEIGHT * model.prior) / (sum(w) + t.PRIOR_WEIGHT)
+
+    slope, shift = t._platt(np.array([t._logit(vote(v, i)[1]) for i, v in enumerate(examples)]), np.array([labels[i] for i in model.ids], float))
+    assert abs(slope - model.slope) < 1e-4 and abs(shift - model.shift) < 1e-4
+    asked = [x for _, x, _ in corpus(40, 3)] + ["", None, "unknown only", "fool " * 300, "Rotten, w! 12 " + texts[5]]
+    for text, (score, found) in zip(asked, model.scores(asked)):
+        near, p = vote(unit(t.words_of(text)))
+        assert [i for _, i in found] == [i for _, i in near]
+        assert abs(score - (1 / (1 + np.exp(-(slope * t._logit(p) + shift))) if near else model.prior)) < 1e-4
+
+
+def test_repeated_ids_give_one_result(spark):
+    """Of texts under one id the least is the example, however the rows lie."""
+    rows = [(i, x) for i, x, _ in corpus(300)] + [(i, "another text " + x) for i, x, _ in corpus(80)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in corpus(300)], "doc_id long, quality int, toxic int")
+    got = []
+    for parts, order in ((1, rows), (5, rows[::-1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        got.append(sorted((r.doc_id, round(r.score, 9), r.evidence_ids) for r in t.score_documents(docs, t.learn(docs, labels)).collect()))
+    assert got[0] == got[1]
 
 
 def test_held_out_accuracy_and_evidence(spark):
     rows = corpus(1500)
-    docs = spark.createDataFrame([(i, x, "s", 1.0) for i, x, _ in rows], "doc_id long, text string, toxic string, score double")
+    docs = spark.createDataFrame([(i, x, "s", 1.0) for i, x, _ in rows], "doc_id long, text string, toxic string, `my-score` double")
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
     model = t.learn(docs, labels)
     got = {r.doc_id: r for r in t.score_documents(docs, model).collect()}
