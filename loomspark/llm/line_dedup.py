@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_d
     seen = Observation()
     keys = materialize(held.observe(seen, F.sum("holders").alias("n")).where("owner <> last").drop("last"), "lines")
     n_keys, total = keys.df.agg(F.count(F.lit(1)), F.coalesce(F.sum("holders"), F.lit(0))).first()
-    shards = max(1, -(-n_keys // shard_keys), -(-(seen.get["n"] or 0) // shard_probes))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // shard_keys), -(-(seen.get["n"] or 0) // shard_probes))
     least = max(HOT_LEAST, total // HOT_SHARE)
     hot = {np.array([r.h1, r.h2], "<i8").tobytes(): r.owner for r in keys.df.where(F.col("holders") >= least).collect()}  # HOT_SHARE rows at most
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")

@@ -13,8 +13,10 @@ components, its members outside the largest of them are compared with the member
 small buckets, in larger ones in blocks that give a link per component and no pairs. So every pair that shares a
 bucket is tested or already connected, and groups of near copies cost rows in proportion to their size.
 
+Classes that hold rows of one doc_id are linked from the start.
+
 Defined results: texts without words have an empty set, linked with nothing; rows with one doc_id are one
-document; a row without id is linked with nothing, its component is null and it is kept; an empty
+document, so what is linked with one of its texts is linked with all of them; a row without id is linked with nothing, its component is null and it is kept; an empty
 table gives no rows; ``keep_one`` keeps all columns.
 """
 
@@ -210,6 +212,14 @@ def _rest(buckets: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -
     return _confirmed(pairs, sets, percent).unionByName(cells)
 
 
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) from each id that stands with several sets, the empty one included, to the classes of these sets."""
+    one = F.struct("s1", "s2")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("doc_id")
+    rows = signed.where("n > 0").select("doc_id", "s1", "s2").join(several, "doc_id", "left_semi").distinct()
+    return rows.join(classes.select("s1", "s2", "id"), ["s1", "s2"]).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     if percent < 80:
@@ -231,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     meets = buckets.groupBy("id").agg(F.sum("size").alias("meets"))
     centres = buckets.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("centre"))
     stars = buckets.join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
-    parts = connected_components(_confirmed(stars, sets, percent))
+    parts = connected_components(_confirmed(stars, sets, percent).unionByName(_same_document(signed, classes)))
     rest = materialize(_rest(buckets.drop("size"), parts.df, sets, percent), "links")
     after = connected_components(parts.df.unionByName(rest.df))
     parts.drop()
@@ -240,9 +250,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     grouped = classes.select("s1", "s2", "id", "copies").join(parts.df.withColumnRenamed("u", "id"), "id", "left")
     grouped = grouped.where("copies > 1 or v is not null").select("s1", "s2", F.coalesce("v", "id").alias("least"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(grouped, ["s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    worded = signed.where("n > 0").join(grouped, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    empty = signed.where("n = 0").join(parts.df, F.col("doc_id") == F.col("u"), "left").select("doc_id", "n", F.coalesce("v", "doc_id").alias("component_id"))
+    out = worded.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **settings: int) -> DataFrame:

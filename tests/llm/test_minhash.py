@@ -67,6 +67,18 @@ def test_edges(spark):
     assert m.near_duplicates(df.limit(0), shingle=2).count() == 0
 
 
+def test_different_texts_under_one_id(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "other words altogether in this one")
+    for rows, want in (
+        ([(5, a), (5, b), (3, b), (7, a), (9, c)], {3: 3, 5: 3, 7: 3, 9: 9}),
+        ([(5, a), (5, None), (3, a), (8, ""), (6, "")], {3: 3, 5: 3, 8: 8, 6: 6}),
+        ([(5, a), (5, b), (6, b), (6, c), (4, c), (7, "")], {4: 4, 5: 4, 6: 4, 7: 7}),
+    ):
+        for order in (rows, rows[::-1]):
+            got = m.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(2), shingle=2).collect()
+            assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_bins_agree_as_often_as_sets_are_similar():
     r = np.random.default_rng(3)
     signer, agree, n = m.Signer(40, 6), 0, 200
