@@ -13,8 +13,8 @@ only while a bound can still beat the K-th best; texts that visit a block take a
 Votes weigh by squared similarity against a prior and are calibrated by a logistic fit on leave-one-out votes,
 which the executors work out. A text without any word of the examples is scored by the rate of the label among them.
 
-Words travel as 64-bit hashes. The model is bounded by ``MAX_EXAMPLES`` whatever the corpus, so it is sent to the
-executors with the code; documents are scored where they lie, without a shuffle.
+Words travel as 64-bit hashes. The model is bounded by ``MAX_EXAMPLES`` whatever the corpus, so it is broadcast, once
+for calibration and scores; documents are scored where they lie, without a shuffle.
 
 Defined results: a null or empty text has no term; with no labelled row, or labels of one kind only, the
 score is the smoothed rate of the label (0.5 without any); ids may repeat or be null, each row is scored
@@ -30,10 +30,12 @@ import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomspark.llm.batches import map_columns
@@ -93,19 +95,38 @@ class BlockMaxIndex:
     def __init__(self, n: int, ptr: np.ndarray, example: np.ndarray, weight: np.ndarray):
         """``ptr`` by term into ``example`` and ``weight``, each term's examples ascending."""
         self.n, self.ptr, self.example, self.weight = n, ptr, example, weight
-        self.blocks, df = max(1, -(-n // BLOCK)), np.diff(ptr)
-        self.row = np.where(df * DENSE >= n, np.cumsum(df * DENSE >= n) - 1, -1)  # of a term's dense list, -1 without
+        self.blocks = max(1, -(-n // BLOCK))
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """Each term's dense list, -1 without one."""
+        often = np.diff(self.ptr) * DENSE >= self.n
+        return np.where(often, np.cumsum(often) - 1, -1)
+
+    @cached_property
+    def lists(self) -> np.ndarray:
         own = np.flatnonzero(self.row >= 0)
-        self.lists = np.zeros((self.blocks, len(own), BLOCK))
-        at, of = _ranges(ptr[own], ptr[own + 1])
-        self.lists[example[at] // BLOCK, of, example[at] % BLOCK] = weight[at]
-        self.maxima = self.lists.max(2).T if len(own) else np.zeros((0, self.blocks))
+        lists = np.zeros((self.blocks, len(own), BLOCK))
+        at, of = _ranges(self.ptr[own], self.ptr[own + 1])
+        lists[self.example[at] // BLOCK, of, self.example[at] % BLOCK] = self.weight[at]
+        return lists
+
+    @cached_property
+    def maxima(self) -> np.ndarray:
+        return self.lists.max(2).T if self.lists.shape[1] else np.zeros((0, self.blocks))
+
+    @cached_property
+    def examples(self) -> Vectors:
+        """The vectors of the examples."""
+        order = np.argsort(self.example, kind="stable")
+        term = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))[order]
+        return Vectors(np.searchsorted(self.example[order], np.arange(self.n + 1)), term, self.weight[order].astype(float))
 
     @classmethod
     def build(cls, rows: Vectors, terms: int) -> BlockMaxIndex:
         order = np.argsort(rows.terms, kind="stable")
-        example = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(rows.ptr))[order]
-        ptr = np.searchsorted(rows.terms[order], np.arange(terms + 1))
+        example = np.repeat(np.arange(len(rows), dtype=np.uint16 if len(rows) <= 1 << 16 else np.uint32), np.diff(rows.ptr))[order]
+        ptr = np.searchsorted(rows.terms[order], np.arange(terms + 1)).astype(np.int32 if len(order) < 1 << 31 else np.int64)
         return cls(len(rows), ptr, example, rows.weights[order].astype(np.float32))
 
     def __reduce__(self) -> tuple:
@@ -167,31 +188,43 @@ class BlockMaxIndex:
         return best
 
 
-@dataclass
-class Model:
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, U))  # of the terms, ascending
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))  # times phi
-    index: BlockMaxIndex | None = None
-    ids: list = field(default_factory=list)
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    prior: float = 0.5
-    slope: float = 1.0
-    shift: float = 0.0
+class Lexicon:
+    """The examples' words with their weights, and the index: the large part of a model, broadcast once."""
+
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, index: BlockMaxIndex):
+        self.hashes, self.idf, self.index = hashes, idf, index  # hashes ascend; idf times phi
+
+    def __reduce__(self) -> tuple:
+        return Lexicon, (self.hashes, self.idf, self.index)
+
+    @cached_property
+    def terms(self) -> _Terms:
+        return _Terms(self.hashes)
 
     def vectors(self, texts: Sequence[str | None]) -> Vectors:
         """The unit vectors of texts over the examples' words."""
-        known: _Terms = self.__dict__.setdefault("_terms", _Terms(self.hashes))
         terms, counts, sizes = [], [], []
         for text in texts:
             words = words_of(text)
-            own = [(t, n) for t, n in zip(map(known.__getitem__, words), words.values()) if t >= 0]
+            own = [(t, n) for t, n in zip(map(self.terms.__getitem__, words), words.values()) if t >= 0]
             sizes.append(len(own))
             terms += [t for t, _ in own]
             counts += [n for _, n in own]
         return weighted(np.array(sizes, np.int64), np.array(terms, np.int64), np.array(counts, float), self.idf)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_terms"}
+
+@dataclass
+class Model:
+    shared: Lexicon | Broadcast | None = None
+    ids: list = field(default_factory=list)
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    prior: float = 0.5
+    slope: float = 1.0
+    shift: float = 0.0
+
+    @property
+    def lexicon(self) -> Lexicon | None:
+        return self.shared.value if isinstance(self.shared, Broadcast) else self.shared
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [s * s for s, _ in near]
@@ -199,10 +232,10 @@ class Model:
 
     def scores(self, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
         """(calibrated score, evidence as (similarity, example)) of each text."""
-        if self.index is None:
+        if (lexicon := self.lexicon) is None:
             return [(self.prior, []) for _ in texts]
         out = []
-        for near in self.index.nearest(self.vectors(texts)):
+        for near in lexicon.index.nearest(lexicon.vectors(texts)):
             z = self.slope * _logit(self.vote(near)) + self.shift
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if near else self.prior, near))
         return out
@@ -259,28 +292,28 @@ def counted(texts: Sequence[str | None]) -> tuple[list[bytes], list[bytes]]:
     return [np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in c), U, len(c)).tobytes() for c in words], [np.fromiter(c.values(), np.uint32, len(c)).tobytes() for c in words]
 
 
-def fit(ids: list, hashes: list[bytes], counts: list[bytes], labels: Sequence[int]) -> tuple[Model, Vectors | None]:
-    """The model of labelled examples, before calibration, and the examples' vectors in its order."""
+def fit(ids: list, hashes: list[bytes], counts: list[bytes], labels: Sequence[int]) -> Model:
+    """The model of labelled examples, before calibration."""
     y = np.array(labels, float)
     n, pos = len(y), float(y.sum())
     model = Model(prior=(pos + 0.5) / (n + 1))
     if not 0 < pos < n:
-        return model, None
+        return model
     sizes = np.array([len(h) // 8 for h in hashes])
-    model.hashes, terms = np.unique(np.frombuffer(b"".join(hashes), U), return_inverse=True)
+    names, terms = np.unique(np.frombuffer(b"".join(hashes), U), return_inverse=True)
     tf = np.frombuffer(b"".join(counts), np.uint32).astype(float)
     row = np.repeat(np.arange(n), sizes)
-    df, both = np.bincount(terms, minlength=len(model.hashes)), np.bincount(terms, y[row], len(model.hashes))
+    df, both = np.bincount(terms, minlength=len(names)), np.bincount(terms, y[row], len(names))
     spread = df * (n - df) * (pos * (n - pos))
     phi = np.abs(n * both - df * pos) / np.sqrt(np.maximum(spread, 1))  # 0 for a term of every example
-    model.idf = (np.log((1 + n) / (1 + df)) + 1) * phi
-    rows = weighted(sizes, terms, tf, model.idf)
+    idf = ((np.log((1 + n) / (1 + df)) + 1) * phi).astype(np.float32)
+    rows = weighted(sizes, terms, tf, idf)
     order = _by_likeness(rows, df)
-    at, of = _ranges(rows.ptr[order], rows.ptr[order + 1])
-    rows = Vectors(np.concatenate(([0], np.cumsum(np.diff(rows.ptr)[order]))), rows.terms[at], rows.weights[at].astype(np.float32).astype(float))
+    at, _ = _ranges(rows.ptr[order], rows.ptr[order + 1])
+    rows = Vectors(np.concatenate(([0], np.cumsum(np.diff(rows.ptr)[order]))), rows.terms[at], rows.weights[at])
     model.ids, model.labels = [ids[i] for i in order], y[order]
-    model.index = BlockMaxIndex.build(rows, len(model.hashes))
-    return model, rows
+    model.shared = Lexicon(names, idf, BlockMaxIndex.build(rows, len(names)))
+    return model
 
 
 def _by_likeness(rows: Vectors, df: np.ndarray) -> np.ndarray:
@@ -326,27 +359,31 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "hashes": hashes, "counts": counts}
 
     got = map_columns(rows.select("doc_id", "text", F.col("toxic").cast("long")), count, "doc_id long, toxic long, hashes binary, counts binary").toArrow().sort_by("doc_id")
-    model, vectors = fit(got["doc_id"].to_pylist(), got["hashes"].to_pylist(), got["counts"].to_pylist(), [int(x > 0) for x in got["toxic"].to_pylist()])
+    model = fit(got["doc_id"].to_pylist(), got["hashes"].to_pylist(), got["counts"].to_pylist(), [int(x > 0) for x in got["toxic"].to_pylist()])
     del got
-    if vectors is not None:
-        calibrate(model, vectors, docs.sparkSession)
+    if model.shared is not None:
+        model.shared = docs.sparkSession.sparkContext.broadcast(model.shared)
+        calibrate(model, docs.sparkSession)
     return model
 
 
-def calibrate(model: Model, vectors: Vectors, spark: SparkSession | None = None) -> None:
+def calibrate(model: Model, spark: SparkSession | None = None) -> None:
     """Fit slope and shift on each example's vote without itself, worked out by the executors if there is a session."""
-    n = len(vectors)
+    n = len(model.ids)
+
+    def votes(a: int, b: int) -> list[float]:
+        index = model.lexicon.index
+        return [model.vote(near) for near in index.nearest(index.examples.some(a, b), K, np.arange(a, b))]
 
-    def votes(batch: pa.RecordBatch) -> dict:
+    def run(batch: pa.RecordBatch) -> dict:
         at = batch.column("id").to_numpy()
-        a, b = int(at[0]), int(at[-1]) + 1
-        return {"id": at, "vote": [model.vote(near) for near in model.index.nearest(vectors.some(a, b), K, np.arange(a, b))]}
+        return {"id": at, "vote": votes(int(at[0]), int(at[-1]) + 1)}
 
     if spark is None:
-        made = [model.vote(near) for near in model.index.nearest(vectors, K, np.arange(n))]
+        made = votes(0, n)
     else:
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 256))
-        made = map_columns(spark.range(0, n, 1, tasks), votes, "id long, vote double").toArrow().sort_by("id")["vote"].to_pylist()
+        made = map_columns(spark.range(0, n, 1, tasks), run, "id long, vote double").toArrow().sort_by("id")["vote"].to_pylist()
     model.slope, model.shift = _platt(np.array([_logit(v) for v in made]), model.labels)
 
 

@@ -61,8 +61,8 @@ def test_ties_go_by_number():
 
 def model_of(texts, labels):
     hashes, counts = t.counted(texts)
-    model, rows = t.fit(list(range(len(texts))), hashes, counts, labels)
-    t.calibrate(model, rows)
+    model = t.fit(list(range(len(texts))), hashes, counts, labels)
+    t.calibrate(model)
     return model
 
 
