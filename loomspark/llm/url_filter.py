@@ -2,27 +2,29 @@
 
 List entries are events: at a time, a pattern is put on a list or taken off it. Entries become validity
 intervals [from, to), each ending where the pattern's next entry on that list begins; the intervals of a
-pattern are gathered into one row. A capture offers its host with every parent domain, and its host with
-every leading part of the path, as keys; an equi-join finds the patterns, and the as-of condition keeps
-the intervals that hold the fetch time. So the join never multiplies captures by dates, and a host with
-very many captures meets one small row: broadcast if there are at most ``BROADCAST_PATTERNS`` patterns,
-else shuffled, where the adaptive planner may split the captures' side.
+pattern are gathered into one row. What a capture meets depends on its url and time alone, so distinct pairs of
+these are matched: each offers its host with every parent domain of two labels at least, and its host with every
+leading part of the path, as keys; an equi-join finds the patterns, and the as-of condition keeps the intervals that
+hold the fetch time. Top-level domains, which a great many urls share, are matched against the few patterns
+of one label. Captures then join the pairs that met a list, and are neither exploded nor multiplied by dates.
+Patterns and pairs are broadcast if they are small in rows and bytes, else shuffled, where the adaptive planner may
+split the captures' side.
 
 Patterns: ``example.org`` takes in its subdomains, ``example.org/a`` everything below that path.
 
 Defined results: of entries for one list and pattern at one time a removal wins; an entry without time,
 pattern or list is ignored; a capture without a url or time matches nothing and stays, with a null host
 where there is none; rows are handled one by one even if ids repeat; without entries every capture
-stays; an empty table gives no rows.
+stays; input columns named host, lists or blocked are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomspark.plans.store import broadcast_if_small
 from loomspark.session import table
 
-BROADCAST_PATTERNS = 100_000
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -40,25 +42,30 @@ def host_of(url: str) -> Column:
 
 
 def keys_of(host: str, path: str) -> Column:
-    """The host, its parent domains, and the host with each leading part of the path."""
-    domains = f"transform(sequence(1, size(split({host}, '[.]'))), i -> array_join(slice(split({host}, '[.]'), i, size(split({host}, '[.]'))), '.'))"
+    """The host, its parent domains of two labels at least, and the host with each leading part of the path."""
+    labels = f"split({host}, '[.]')"
+    domains = f"transform(sequence(1, greatest(1, size({labels}) - 1)), i -> array_join(slice({labels}, i, size({labels})), '.'))"
     parts = f"filter(split({path}, '/'), s -> s <> '')"
     paths = f"transform(if(size({parts}) > 0, sequence(1, size({parts})), array()), i -> concat({host}, '/', array_join(slice({parts}, 1, i), '/')))"
-    return F.expr(f"if({host} is null, cast(array() as array<string>), concat({domains}, {paths}))")
+    return F.expr(f"concat({domains}, {paths})")
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """``captures`` with host, lists (sorted names of the lists active at the fetch) and blocked."""
     rules = intervals(entries).groupBy("pattern").agg(F.collect_list(F.struct("list", "since", "until")).alias("_spans"))
-    if rules.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
-        rules = F.broadcast(rules)
-    numbered = captures.withColumn("_row", F.struct(*captures.columns)).select("_row", F.monotonically_increasing_id().alias("_rid"), F.col(url).alias("_url"), F.col(at).alias("_at"))
-    hosted = numbered.withColumn("_host", host_of("_url")).withColumn("_path", F.lower(F.regexp_extract("_url", PATH, 1)))
-    offered = hosted.select("_row", "_rid", "_at", "_host", F.explode_outer(keys_of("_host", "_path")).alias("pattern"))
-    active = F.expr("transform(filter(_spans, s -> s.since <= _at and (s.until is null or _at < s.until)), s -> s.list)")
-    met = offered.join(rules, "pattern", "left").select("_row", "_rid", "_host", F.coalesce(active, F.expr("cast(array() as array<string>)")).alias("_lists"))
-    back = met.groupBy("_rid").agg(F.first("_row").alias("_row"), F.first("_host").alias("host"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lists")))).alias("lists"))
-    return back.select("_row.*", "host", "lists", (F.size("lists") > 0).alias("blocked"))
+    asked = captures.select(F.col(f"`{url}`").alias("_url"), F.col(f"`{at}`").alias("_at")).where("_at is not null").distinct()
+    hosted = asked.withColumn("_host", host_of("_url")).where("_host is not null").withColumn("_path", F.lower(F.regexp_extract("_url", PATH, 1)))
+    active = F.expr("transform(filter(_spans, s -> s.since <= _at and (s.until is null or _at < s.until)), s -> s.list)").alias("_lists")
+    offered = hosted.select("_url", "_at", F.explode(keys_of("_host", "_path")).alias("pattern"))
+    met = offered.join(broadcast_if_small(rules), "pattern").select("_url", "_at", active)
+    tops = hosted.where("instr(_host, '.') > 0").select("_url", "_at", F.substring_index("_host", ".", -1).alias("pattern"))
+    top_rules = broadcast_if_small(rules.where("instr(pattern, '.') = 0 and instr(pattern, '/') = 0"))
+    met = met.unionByName(tops.join(top_rules, "pattern").select("_url", "_at", active)).where("size(_lists) > 0")
+    lists = met.groupBy("_url", "_at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lists")))).alias("lists"))
+    rows = captures.select(*(F.col(f"`{c}`") for c in captures.columns if c not in ("host", "lists", "blocked")))
+    back = rows.join(lists, (F.col(f"`{url}`") == F.col("_url")) & (F.col(f"`{at}`") == F.col("_at")), "left").drop("_url", "_at")
+    found = F.coalesce("lists", F.expr("cast(array() as array<string>)"))
+    return back.withColumn("host", host_of(f"`{url}`")).withColumn("lists", found).withColumn("blocked", F.size("lists") > 0)
 
 
 #: The entries of the registered query, besides those that it derives from the hosts: (list, pattern, date, listed)
