@@ -1,7 +1,9 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-The content view sees counts over a text's characters and words; the metadata view sees language, source,
-lengths and the layout of lines. Both are logistic models fitted on a bounded sample of labelled rows.
+The content view sees a text's words (how often each of the ``TERMS`` words occurs whose presence is most
+associated with the label among the labelled rows) and statistics of its characters and word lengths; the metadata
+view sees language, source and the recorded length, and nothing of the text. Both are logistic models fitted
+on a bounded sample of labelled rows.
 Over ``ROUNDS`` rounds each view labels all unlabelled documents, and the most confident of either label go
 to the other view's training rows. Labelled rows put aside before that calibrate each view and the
 combination of both views' scores by logistic fits; then every document is scored where it lies.
@@ -17,7 +19,7 @@ smallest by a hash of the id) bounds the labelled rows that are gathered, whatev
 
 Defined results: null texts count as empty, null language, source or length as values of their own; with
 no labels, or labels of one kind only, the score is the smoothed rate of the label (0.5 without any); ids may
-repeat or be null, each row is scored by itself; an empty table gives no rows; further columns are ignored.
+repeat or be null, each row is scored by itself (as a labelled row, a repeated id stands for its least text); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -33,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomspark.llm.batches import map_columns
+from loomspark.llm.toxicity import _Terms, counted, words_of
 from loomspark.plans.store import materialize
 from loomspark.session import table
 
 FOLDS = 5
+ASIDE = 3  # every so many labelled rows calibrate
 MAX_LABELLED = 10_000
 ROUNDS = 4
 SHARE = 0.05  # of the unlabelled rows, taken by each view for each label in a round
@@ -44,10 +48,27 @@ MASS = 1 / (2 * ROUNDS)  # so all that a view is given weighs at most as much as
 SURE, LEVELS = 2.0, 2048  # least logit of a row that is taken; levels from there to 30
 MARKS = "#$%&*|!?,.;:()[]{}<>=+_/\\\"'-@~"
 BINS = 16
+TERMS = 64
+NO_WORDS = _Terms(np.zeros(0, np.uint64))
 
 
-def content_view(text: str | None) -> list[float]:
+def select_terms(hashes: list[bytes], y: np.ndarray, most: int = TERMS) -> _Terms:
+    """The words whose presence says most about the label, by chi-square, of labelled rows' word hashes."""
+    names, word = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
+    row = np.repeat(np.arange(len(y)), [len(h) // 8 for h in hashes])
+    n, pos, df = len(y), y.sum(), np.bincount(word, minlength=len(names))
+    both = np.bincount(word, y[row], len(names))
+    chi2 = n * (n * both - df * pos) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1)
+    return _Terms(np.sort(names[np.lexsort((names, -chi2))[:most]]))
+
+
+def content_view(text: str | None, terms: _Terms = NO_WORDS) -> list[float]:
     t = text or ""
+    own, held = np.zeros(len(terms.hashes)), words_of(t)
+    for w, k in held.items():
+        if (at := terms[w]) >= 0:
+            own[at] = np.log1p(k)
+    own /= np.log1p(max(1, held.total()))
     n, words = max(1, len(t)), t.split()
     m, seen = max(1, len(words)), Counter(words)
     chars = Counter(t)
@@ -55,7 +76,7 @@ def content_view(text: str | None) -> list[float]:
     top = max(seen.values(), default=0)
     repeats = sum(a == b for a, b in zip(words, words[1:]))
     lengths = np.fromiter(map(len, words), float, len(words)) if words else np.zeros(1)
-    return [np.log1p(len(words)), upper / n, digits / n, letters / n, len(seen) / m, np.log1p(m) * len(seen) / m, top / m, repeats / m, lengths.mean(), lengths.std(), (lengths <= 3).mean(), *(chars.get(c, 0) / n for c in MARKS)]
+    return [np.log1p(len(words)), upper / n, digits / n, letters / n, len(seen) / m, np.log1p(m) * len(seen) / m, top / m, repeats / m, lengths.mean(), lengths.std(), (lengths <= 3).mean(), *(chars.get(c, 0) / n for c in MARKS), *own]
 
 
 def _bin(value: object, salt: str) -> list[float]:
@@ -63,11 +84,9 @@ def _bin(value: object, salt: str) -> list[float]:
     return [float(i == at) for i in range(BINS)]
 
 
-def metadata_view(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    lines = (text or "").split("\n")
-    lengths = np.fromiter(map(len, lines), float, len(lines))
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     log = np.log1p(max(0, n_chars or 0))
-    return [log, log * log / 10, float(n_chars is None), np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()), (lengths == 0).mean(), *_bin(lang, "l"), *_bin(source, "s")]
+    return [log, log * log / 10, float(n_chars is None), *_bin(lang, "l"), *_bin(source, "s")]
 
 
 @dataclass
@@ -114,6 +133,7 @@ class CoTrained:
     views: tuple[Logistic, Logistic] | None = None
     single: tuple[Logistic, Logistic] | None = None
     both: Logistic | None = None
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the content view's words
 
     def scores(self, xs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores: content, metadata, combined."""
@@ -243,7 +263,7 @@ def _cut(counts: np.ndarray, per: int, mass: float) -> Cut:
 def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Callable[[], StoredPool], rounds: int = ROUNDS) -> CoTrained:
     n, pos = len(y), float(y.sum())
     model = CoTrained((pos + 0.5) / (n + 1))
-    aside = np.arange(n) % 3 == 0
+    aside = np.arange(n) % ASIDE == 0
     if min(y[~aside].sum(), (1 - y[~aside]).sum()) < 1 or min(y[aside].sum(), (1 - y[aside]).sum()) < 1:
         return model
     rows = pool() if callable(pool) else LocalPool(*pool)
@@ -264,16 +284,17 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
     return model
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    rows = list(zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))))
-    return np.array([content_view(r[0]) for r in rows]), np.array([metadata_view(*r) for r in rows])
+def _views(batch: pa.RecordBatch, terms: _Terms) -> tuple[np.ndarray, np.ndarray]:
+    texts, *meta = (batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))
+    return np.array([content_view(t, terms) for t in texts]), np.array([metadata_view(*m) for m in zip(*meta)])
 
 
-def _featured(docs: DataFrame) -> DataFrame:
+def _featured(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
     """doc_id, y and both views' features as bytes of single floats, one after the other."""
+    terms = _Terms(hashes)
 
     def run(batch: pa.RecordBatch) -> dict:
-        x = np.concatenate(_views(batch), 1).astype(np.float32)
+        x = np.concatenate(_views(batch, terms), 1).astype(np.float32)
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [r.tobytes() for r in x]}
 
     return map_columns(docs, run, "doc_id long, y int, x binary")
@@ -291,27 +312,43 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     allowed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0
     chosen = given.where(allowed).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the documented bound
-    got = _featured(docs.select(*INPUTS).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])).toArrow().sort_by("doc_id")
-    if not got.num_rows:
+    met = docs.select(*INPUTS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*INPUTS[1:])).alias("r"), F.max("y").alias("y"))
+    rows = materialize(met.select("doc_id", "r.*", "y"), "labelled")
+
+    def count(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "hashes": counted(batch.column("text").to_pylist())[0]}
+
+    words = map_columns(rows.df.select("doc_id", "text", "y"), count, "doc_id long, y int, hashes binary").toArrow().sort_by("doc_id")
+    if not words.num_rows:
         return CoTrained(0.5)
-    widths, stored = (len(content_view(None)), len(metadata_view(None, None, None, None))), []
+    y = np.array(words["y"].to_pylist()).clip(0, 1).astype(float)
+    learnt = np.arange(len(y)) % ASIDE != 0  # the others calibrate
+    hashes = select_terms([h for h, own in zip(words["hashes"].to_pylist(), learnt) if own], y[learnt]).hashes
+    del words
+    got = _featured(rows.df, hashes).toArrow().sort_by("doc_id")
+    rows.drop()
+    widths, stored = (len(content_view(None, _Terms(hashes))), len(metadata_view(None, None, None))), []
 
     def unlabelled() -> StoredPool:
-        rest = _featured(docs.select(*INPUTS).withColumn("y", F.lit(-1))).join(given.select("doc_id"), "doc_id", "left_anti")
+        rest = _featured(docs.select(*INPUTS).withColumn("y", F.lit(-1)), hashes).join(given.select("doc_id"), "doc_id", "left_anti")
         stored.append(materialize(rest.select("x"), "unlabelled"))
         return StoredPool(stored[0].df, widths)
 
     try:
-        return co_train(_unpacked(got["x"], widths), np.array(got["y"].to_pylist()).clip(0, 1).astype(float), unlabelled)
+        model = co_train(_unpacked(got["x"], widths), y, unlabelled)
+        model.terms = hashes
+        return model
     finally:
         for s in stored:
             s.drop()
 
 
 def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
+    terms = _Terms(model.terms)
+
     def run(batch: pa.RecordBatch) -> dict:
         ids = batch.column("doc_id").to_pylist()
-        text, meta, both = model.scores(_views(batch))
+        text, meta, both = model.scores(_views(batch, terms))
         return {
             "doc_id": ids,
             "held_out": [i is not None and zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids],

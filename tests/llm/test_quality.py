@@ -51,11 +51,37 @@ def test_pool_is_every_unlabelled_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     labels = spark.createDataFrame(marks[:400], "doc_id long, quality int, toxic int")
     got = q.learn(docs, labels)
-    views = lambda part: tuple(np.array([f(x) for x in part]) for f in (lambda x: q.content_view(x[1]), lambda x: q.metadata_view(*x[1:])))
+    views = lambda part: tuple(np.array([f(x) for x in part]) for f in (lambda x: q.content_view(x[1], terms), lambda x: q.metadata_view(*x[2:])))
     own = [x for x in rows[:400] if q.zlib.crc32(str(x[0]).encode()) % 5]
-    want = q.co_train(views(own), np.array([float(marks[x[0]][1]) for x in own]), views(rows[400:]))
+    y = np.array([float(marks[x[0]][1]) for x in own])
+    terms = q._Terms(got.terms)
+    some = [i for i in range(len(own)) if i % 3]
+    words = [set(q.words_of(own[i][1])) for i in some]
+    n, pos = len(some), y[some].sum()
+
+    def chi2(w):
+        df, both = sum(w in c for c in words), sum(y[i] for i, c in zip(some, words) if w in c)
+        return n * (n * both - df * pos) ** 2 / max(df * (n - df) * pos * (n - pos), 1)
+
+    tells = {w: chi2(w) for w in set().union(*words)}
+    taken = [x for w, x in tells.items() if terms[w] >= 0]
+    assert len(taken) == q.TERMS and min(taken) >= max(x for w, x in tells.items() if terms[w] < 0) - 1e-9
+    want = q.co_train(views(own), y, views(rows[400:]))
     for x, y in zip(got.views, want.views):
         assert np.allclose(x.theta, y.theta, atol=0.02) and np.allclose(x.mean, y.mean, rtol=1e-2, atol=1e-3)
+    # every document's score against the version in memory
+    scores = dict(zip((x[0] for x in rows), want.scores(views(rows))[2]))
+    assert all(abs(x.score - scores[x.doc_id]) < 0.01 for x in q.score_documents(docs, got).collect())
+
+
+def test_repeated_ids_give_one_result(spark):
+    rows = [(i, f"{'fine' if i % 3 else 'BAD'} text {i}", "en", "s", 9) for i in range(200)] + [(i, f"other {i % 7}", "de", "t", 5) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got.append(sorted((x.doc_id, round(x.score, 6)) for x in q.score_documents(docs, q.learn(docs, labels)).collect()))
+    assert got[0] == got[1]
 
 
 def test_refit_is_the_fit_of_all_rows():
