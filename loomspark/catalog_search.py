@@ -67,14 +67,26 @@ def bm25_sql(query: str, columns: dict[str, float], where: str = "true", k: int
     ORDER BY round({" + ".join(terms)}, 9) DESC, doc_id LIMIT {k}"""
 
 
+_INDEXES: dict = {}
+
+
+def keyword_index(s: SparkSession, d: str, columns: dict[str, float]) -> retrieval.KeywordIndex:
+    """The index of a table's columns, built by the first query of a session that asks for it."""
+    name = (s.sparkContext.applicationId, d, *columns)
+    if name not in _INDEXES:
+        _INDEXES[name] = retrieval.KeywordIndex.build(chunks(s, d), "doc_id", list(columns))
+    return _INDEXES[name]
+
+
 def _bm25(query: str, columns: dict[str, float], scope=None, k: int = 50):
-    return lambda s, d: retrieval.bm25(chunks(s, d), query, "doc_id", columns, scope() if scope else None, k).select("doc_id", F.round("score", 6).alias("score"))
+    return lambda s, d: retrieval.bm25(chunks(s, d), query, "doc_id", columns, scope() if scope else None, k, keyword_index(s, d, columns)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _add("bm25_top", bm25_sql(QUERY, {"text": 1.0}), _bm25(QUERY, {"text": 1.0}))
 _add("bm25_two_column", bm25_sql("src3 onanin es", {"text": 1.0, "heading": 0.5}), _bm25("src3 onanin es", {"text": 1.0, "heading": 0.5}))
 _add("bm25_scoped", bm25_sql(QUERY, {"text": 1.0}, "lang = 'en'", 20), _bm25(QUERY, {"text": 1.0}, lambda: F.col("lang") == "en", 20))
 _add("bm25_path_glob", bm25_sql(QUERY, {"text": 1.0}, "regexp_matches(rel_path, '^src[1-3]/([^/]+/)*[^/]*[.]md$')", 20), _bm25(QUERY, {"text": 1.0}, lambda: matches_glob(F.col("rel_path"), "src[1-3]/**/*.md"), 20))
+_add("bm25_without_index", bm25_sql(RARE := "onanin heed erth", {"text": 1.0}, "true", 20), lambda s, d: retrieval.bm25(chunks(s, d), RARE, "doc_id", {"text": 1.0}, None, 20).select("doc_id", F.round("score", 6).alias("score")))
 _add("bm25_no_term", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false", _bm25("!! ..", {"text": 1.0}))
 _add("path_glob_scope", f"SELECT doc_id, rel_path FROM {_CHUNKS} WHERE regexp_matches(rel_path, '^src[0-9]/(en|fr)/[^/]*7[.]md$')", lambda s, d: chunks(s, d).where(matches_glob(F.col("rel_path"), "src[0-9]/en/*7.md") | matches_glob(F.col("rel_path"), "src?/fr/**/*7.md")).select("doc_id", "rel_path"))
 
@@ -123,8 +135,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS n FRO
 
 
 def _neighbours(s: SparkSession, d: str) -> DataFrame:
-    pairs = retrieval.similar_pairs(table(s, d, "embeddings").withColumn("doc", F.col("vec_id")), "vec_id", "label", "doc", -1.0)
-    return quality.best_neighbour(pairs)
+    return retrieval.nearest_in_group(table(s, d, "embeddings").withColumn("doc", F.col("vec_id")), "vec_id", "label", "doc")
 
 
 _add("best_neighbour", _BEST + " SELECT a AS chunk, b AS nearest, round(cos, 6) AS cos FROM r WHERE n = 1", lambda s, d: _neighbours(s, d).select("chunk", "nearest", F.round("cos", 6).alias("cos")))
@@ -139,8 +150,8 @@ FROM f ORDER BY coalesce(1.0 / (60 + ra) + CASE WHEN ra = 1 THEN 0.5 / 61 ELSE 0
 _V = f"v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY distance, vec_id) AS r FROM ({_knn_sql('true', 50).replace(f'abs(round(1 - {_COS}, 6))', f'1 - {_COS}')}))"
 
 
-def _w(query: str, k: int = 50) -> str:
-    return f"w0 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql(query, {'text': 1.0}, 'true', k).replace(', 6) AS score', ', 9) AS score')}))"
+def _w(query: str, k: int = 50, where: str = "true") -> str:
+    return f"w0 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql(query, {'text': 1.0}, where, k).replace(', 6) AS score', ', 9) AS score')}))"
 
 
 def embedded(s: SparkSession, d: str) -> DataFrame:
@@ -150,18 +161,34 @@ def embedded(s: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(query: str, k: int):
     def run(s: SparkSession, d: str) -> DataFrame:
-        return retrieval.search(embedded(s, d), query, query_vector(s, d), "doc_id", {"text": 1.0}, top=k).select("doc_id", F.round("score", 6).alias("score"))
+        return retrieval.search(embedded(s, d), query, query_vector(s, d), "doc_id", {"text": 1.0}, top=k, index=keyword_index(s, d, {"text": 1.0})).select("doc_id", F.round("score", 6).alias("score"))
 
     return run
 
 
-RARE = "onanin heed erth"
 _add("rrf_hybrid", f"WITH {_V}, {_w(RARE)}, {_RRF.format(floor=3, k=20)}", _hybrid(RARE, 20))
 _add("rrf_sparse_floor", f"WITH {_V}, {_w('zzzznothing')}, {_RRF.format(floor=3, k=10)}", _hybrid("zzzznothing", 10))
-_add("search_keyword", f"WITH v AS (SELECT doc_id AS id, 1 AS r FROM documents WHERE false), {_w(RARE)}, {_RRF.format(floor=0, k=10)}", lambda s, d: retrieval.search(embedded(s, d), RARE, None, "doc_id", {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score")))
+_add("search_keyword", f"WITH v AS (SELECT doc_id AS id, 1 AS r FROM documents WHERE false), {_w(RARE)}, {_RRF.format(floor=0, k=10)}", lambda s, d: retrieval.search(embedded(s, d), RARE, None, "doc_id", {"text": 1.0}, index=keyword_index(s, d, {"text": 1.0})).select("doc_id", F.round("score", 6).alias("score")))
 _add("search_vector", f"WITH {_V}, w0 AS (SELECT doc_id AS id, 1 AS r FROM documents WHERE false), {_RRF.format(floor=3, k=10)}", lambda s, d: retrieval.search(embedded(s, d), None, query_vector(s, d), "doc_id", {"text": 1.0}, "vector").select("doc_id", F.round("score", 6).alias("score")))
 
 
+def _collection(s: SparkSession, d: str) -> DataFrame:
+    found = retrieval.search(embedded(s, d).withColumnRenamed("lang", "collection"), RARE, query_vector(s, d), "doc_id", {"text": 1.0}, top=20, index=keyword_index(s, d, {"text": 1.0}), collection="en")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+_VC = _V.replace("WHERE true", "WHERE e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+_add("search_collection", f"WITH {_VC}, {_w(RARE, where="lang = 'en'")}, {_RRF.format(floor=3, k=20)}", _collection)
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    got = retrieval.search_report(embedded(s, d), RARE + " 日", query_vector(s, d), "doc_id", {"text": 1.0}, index=keyword_index(s, d, {"text": 1.0}))
+    return s.createDataFrame([(got.mode, ",".join(got.dropped), got.keywords_skipped, got.vector_candidates, got.keyword_candidates)], "mode string, dropped string, keywords_skipped boolean, vector_candidates long, keyword_candidates long")
+
+
+_add("search_report", f"WITH {_V}, {_w(RARE)} SELECT 'hybrid' AS mode, '日' AS dropped, (SELECT count(*) FROM w0) < 3 AS keywords_skipped, (SELECT count(*) FROM v) AS vector_candidates, (SELECT count(*) FROM w0) AS keyword_candidates", _report)
+
+
 def _recency(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "documents").select("doc_id", "text", F.col("n_chars").alias("created"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("scope"))
     recent = retrieval.rank_recency(m, "doc_id", "created", "fr", 20)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,10 +51,52 @@ def bigrams(t: Column) -> Column:
     return F.when(n < 2, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2))))
 
 
+#: What no token holds: ASCII other than letters and digits.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def fold_token(t: Column) -> Column:
+    """A word folded and cut; ASCII alone, the usual case, needs no table of letters."""
+    folded = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(fold_ascii(t))
+    return F.when(F.octet_length(t) <= MAX_TOKEN, folded).otherwise(cut_bytes(folded, MAX_TOKEN))
+
+
 def tokens(c: Column) -> Column:
-    """Index tokens in order: folded words of at most ``MAX_TOKEN`` bytes, and bigrams of unspaced scripts."""
-    word = lambda t: F.when(F.octet_length(t) <= MAX_TOKEN, fold_ascii(t)).otherwise(cut_bytes(fold_ascii(t), MAX_TOKEN))
-    return F.flatten(F.transform(runs(F.coalesce(c, F.lit(""))), lambda t: F.when(_is_cjk(t), bigrams(t)).otherwise(F.array(word(t)))))
+    """Index tokens in order: folded words of at most ``MAX_TOKEN`` bytes, and bigrams of unspaced scripts.
+
+    Only texts that hold an unspaced script take the path by runs; others are split at what no token holds.
+    """
+    text = F.coalesce(c, F.lit(""))
+    words = F.transform(F.array_remove(F.split(text, GAP), ""), fold_token)
+    mixed = F.flatten(F.transform(runs(text), lambda t: F.when(_is_cjk(t), bigrams(t)).otherwise(F.array(fold_token(t)))))
+    return F.when(text.rlike(f"[{CJK}]"), mixed).otherwise(words)
+
+
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_unspaced = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), CJK) + "]+")
+
+
+def cut_text(t: str, limit: int = MAX_TOKEN) -> str:
+    """``cut_bytes`` of a Python text."""
+    return t.encode()[:limit].decode(errors="ignore")
+
+
+def token_list(text: str | None) -> list[str]:
+    """``tokens`` of a Python text, for building an index in Arrow batches."""
+    folded = (text or "").encode(errors="replace").translate(_FOLD).decode()
+    words = _words.findall(folded)
+    if _unspaced.search(folded):
+        parts = []
+        for w in words:
+            at = 0
+            for m in _unspaced.finditer(w):
+                parts += [w[at : m.start()]] if m.start() > at else []
+                run, at = m[0], m.end()
+                parts += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+            parts += [w[at:]] if at < len(w) else []
+        words = parts
+    return [w if len(w) <= MAX_TOKEN // 4 or len(w.encode()) <= MAX_TOKEN else cut_text(w) for w in words]
 
 
 def token_count(c: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 TARGET, MAXIMUM, OVERLAP = 800, 1024, 80
 
@@ -34,6 +35,11 @@ class Block:
     title: str = ""
 
 
+def _lines(text: str) -> list[str]:
+    """Lines with their ends; only a line feed ends one."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text)
+
+
 def count_tokens(text: str) -> int:
     """A model-free estimate: a quarter of the bytes, rounded up."""
     return -(-len(text.encode()) // 4)
@@ -47,7 +53,7 @@ def blocks(source: str) -> list[Block]:
     """The blocks of a document in order; ``start`` and ``end`` are character offsets."""
     out: list[Block] = []
     lines, at = [], 0
-    for raw in source.splitlines(keepends=True) if source else []:
+    for raw in _lines(source):
         lines.append((at, at + len(raw), raw.rstrip("\r\n")))
         at += len(raw)
     i = 0
@@ -126,13 +132,21 @@ def _table_head(text: str) -> str:
 
 
 def _cut(text: str, most: int, count: Callable[[str], int]) -> Iterator[str]:
-    """A long line in pieces of at most ``most`` tokens, cut between characters."""
-    while text:
-        n = len(text)
-        while n > 1 and count(text[:n]) > most:
-            n = max(1, n * most // max(count(text[:n]), 1)) if count(text[:n]) > 2 * most else n - max(1, n // 16)
-        yield text[:n]
-        text = text[n:]
+    """A long line in pieces of at most ``most`` tokens, cut between characters; work in proportion to its length."""
+    at, guess = 0, 4 * most
+    while at < len(text):
+        fits, over = 1, guess
+        while over < len(text) - at and count(text[at : at + over]) <= most:
+            fits, over = over, 2 * over
+        if over >= len(text) - at:
+            over = len(text) - at + 1
+            if count(text[at:]) <= most:
+                fits = over - 1
+        while over - fits > 1:
+            mid = (fits + over) // 2
+            fits, over = (mid, over) if count(text[at : at + mid]) <= most else (fits, mid)
+        yield text[at : at + fits]
+        at, guess = at + fits, fits + 1
 
 
 def chunks(source: str, target: int = TARGET, most: int = MAXIMUM, overlap: int = OVERLAP, count: Callable[[str], int] = count_tokens) -> list[tuple[str, int, int, int, str]]:
@@ -167,7 +181,7 @@ def chunks(source: str, target: int = TARGET, most: int = MAXIMUM, overlap: int
         if n > most:
             flush(False)
             parts: list[str] = []
-            for line in text.splitlines(keepends=True):
+            for line in _lines(text):
                 for piece in _cut(line, most, count) if count(line) > most else (line,):
                     if parts and count(parts[-1] + piece) <= most:
                         parts[-1] += piece
@@ -196,21 +210,27 @@ _inline = re.compile(r"(?<!!)\[(?:[^\[\]]|\[[^\[\]]*\])*\]\(\s*<?([^()\s<>]+(?:\
 _wiki = re.compile(r"\[\[([^\[\]|\n]+)(?:\|[^\[\]\n]*)?\]\]")
 _uri = re.compile(r"(?<![\w(<\[])([A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"'`\])]+)")
 _front = re.compile(r"^(depends_on|related_to|part_of)[ \t]*:[ \t]*(.*)$")
-#: Schemes that lead outside, and endings of files that are no documents.
-EXTERNAL = ("http", "https", "ftp", "ssh", "git", "mailto", "tel", "data", "javascript")
-ASSETS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "csv", "zip", "mp4", "mp3", "json", "yaml", "yml", "html", "css", "js", "py")
+#: Schemes that lead outside, and endings of documents; a file with any other ending is an asset.
+EXTERNAL = ("http", "https", "file", "ftp", "data", "mailto")
+DOCUMENTS = ("md", "txt", "mdx")
+
+
+def is_asset(raw: str) -> bool:
+    name = raw.split("#", 1)[0].rstrip("/").rsplit("/", 1)[-1]
+    _, dot, ending = name.rpartition(".")
+    return bool(dot and ending) and ending.lower() not in DOCUMENTS
 
 
 def classify(raw: str, default: str = "md") -> str:
-    """md, wiki, frontmatter (as given), collection_uri, external or asset."""
+    """md, wiki, frontmatter (as given), collection_uri, external or asset.
+
+    A scheme without an authority leads outside, whatever it is; one with an authority names a collection.
+    """
     if m := re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(//)?", raw):
         if m[1].lower() in EXTERNAL or not m[2]:
             return "external"
-        return "collection_uri"
-    path = re.split(r"[?#]", raw)[0]
-    if path.rsplit(".", 1)[-1].lower() in ASSETS and "." in path.rsplit("/", 1)[-1]:
-        return "asset"
-    return default
+        return "asset" if is_asset(raw) else "collection_uri"
+    return "asset" if is_asset(raw) else default
 
 
 def links(source: str) -> list[tuple[str, str]]:
@@ -220,8 +240,8 @@ def links(source: str) -> list[tuple[str, str]]:
         text = source[b.start : b.end]
         if b.kind == "frontmatter":
             key = None
-            for line in text.splitlines():
-                if m := _front.match(line):
+            for line in _lines(text):
+                if m := _front.match(line := line.rstrip("\r\n")):
                     key = m[1]
                     out += [("frontmatter", v) for v in (x.strip(" \t\"'") for x in m[2].strip("[] \t").split(",")) if v]
                 elif key and (m := re.match(r"\s+-\s+(.*)$|-\s+(.*)$", line)):
@@ -248,8 +268,8 @@ def meta(source: str) -> dict[str, str]:
     if not found or found[0].kind != "frontmatter":
         return {}
     out = {}
-    for line in source[: found[0].end].splitlines()[1:-1]:
-        if m := re.match(r"([A-Za-z_][\w-]*)[ \t]*:[ \t]*(.*)$", line):
+    for line in _lines(source[: found[0].end])[1:-1]:
+        if m := re.match(r"([A-Za-z_][\w-]*)[ \t]*:[ \t]*(.*)$", line.rstrip("\r\n")):
             v = m[2].strip()
             out[m[1]] = ",".join(x.strip(" \t\"'") for x in v[1:-1].split(",") if x.strip()) if v.startswith("[") and v.endswith("]") else v.strip("\"'")
     return out
@@ -295,8 +315,30 @@ def block_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return _table(docs, key, text, parse, ["kind", "start", "end", "level", "title", "heading_path"], "kind string, start int, end int, level int, title string, heading_path string")
 
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET, most: int = MAXIMUM, overlap: int = OVERLAP) -> DataFrame:
-    return _table(docs, key, text, lambda t: chunks(t, target, most, overlap), ["heading_path", "start", "end", "n_tokens", "text"], "heading_path string, start int, end int, n_tokens int, text string")
+def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET, most: int = MAXIMUM, overlap: int = OVERLAP, count: Callable[[str], int] = count_tokens) -> DataFrame:
+    """Chunks of every document; ``count`` tells the tokens of a text, a model's own counter if need be."""
+    return _table(docs, key, text, lambda t: chunks(t, target, most, overlap, count), ["heading_path", "start", "end", "n_tokens", "text"], "heading_path string, start int, end int, n_tokens int, text string")
+
+
+def embed_table(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", name: str = "embedding", batch: int = 64) -> DataFrame:
+    """``chunks`` with a vector of each text from ``embed``, which is given up to ``batch`` texts; null for null.
+
+    ``embed`` is sent to the executors; one that loads a model should do so at its first call.
+    """
+    schema = StructType([f for f in chunks.schema if f.name != name]).add(name, ArrayType(FloatType()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            there, made = [i for i, t in enumerate(pdf[text]) if t is not None], [None] * len(pdf)
+            for a in range(0, len(there), batch):
+                own = there[a : a + batch]
+                for i, v in zip(own, embed([pdf[text].iloc[i] for i in own])):
+                    made[i] = [float(x) for x in v]
+            pdf = pdf.drop(columns=[name], errors="ignore")
+            pdf[name] = pd.Series(made, index=pdf.index, dtype=object)
+            yield pdf
+
+    return chunks.mapInPandas(run, schema)
 
 
 def link_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

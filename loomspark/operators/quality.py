@@ -13,7 +13,8 @@ DEFAULT_CHECKS = ("index_failed", "broken_link", "orphan", "not_in_index", "frag
 ALL_CHECKS = (*DEFAULT_CHECKS, "no_frontmatter", "island", "stale")
 LINK_CHECKS = ("broken_link", "orphan", "not_in_index")
 PAIR_CHECKS = ("near_duplicate", "duplicate_content", "stale")
-CONVENTIONS = ("readme.md", "index.md", "changelog.md", "license.md", "agents.md", "claude.md", "skill.md", "memory.md")
+#: Names of documents that nothing is expected to link to.
+CONVENTIONS = ("index.md", "README.md", "readme.md", "CLAUDE.md", "AGENTS.md", "SKILL.md")
 SIMILAR, ISLAND, NAVIGATION, TINY, FRAGMENT, OVERSIZED, STALE_DAYS = 0.84, 0.50, 0.30, 20, 100, 50, 120
 
 
@@ -34,7 +35,7 @@ def broken_link(links: DataFrame, docs: DataFrame) -> DataFrame:
 def orphan(docs: DataFrame, links: DataFrame) -> DataFrame:
     """Documents that no other document links to."""
     linked = links.where("target_doc_id is not null").select(F.col("target_doc_id").alias("doc_id")).distinct()
-    lone = docs.where(~F.lower(basename(F.col("rel_path"))).isin(*CONVENTIONS)).join(linked, "doc_id", "left_anti")
+    lone = docs.where(~basename(F.col("rel_path")).isin(*CONVENTIONS)).join(linked, "doc_id", "left_anti")
     return finding("orphan", lone, F.col("rel_path"), F.col("rel_path"), F.lit(""))
 
 
@@ -126,12 +127,6 @@ def stale(described: DataFrame, now: Column, days: int = STALE_DAYS) -> DataFram
     return finding("stale", best, F.col("path"), F.col("path"), F.col("newer"))
 
 
-def best_neighbour(pairs: DataFrame) -> DataFrame:
-    """(chunk, nearest, cos): each chunk's most similar chunk of another document."""
-    both = pairs.select("a", "b", "cos").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-    return both.groupBy(F.col("a").alias("chunk")).agg(F.max_by("b", F.struct("cos", -F.col("b"))).alias("nearest"), F.max("cos").alias("cos"))
-
-
 def island(chunks: DataFrame, nearest: DataFrame, below: float = ISLAND) -> DataFrame:
     """Chunks whose best neighbour is less similar than ``below``."""
     alone = chunks.join(nearest, F.col("chunk_id") == F.col("chunk")).where(F.col("cos") < below)
@@ -141,7 +136,7 @@ def island(chunks: DataFrame, nearest: DataFrame, below: float = ISLAND) -> Data
 def run_checks(docs: DataFrame, chunks: DataFrame, links: DataFrame, described: DataFrame | None = None, checks: tuple[str, ...] = DEFAULT_CHECKS, graph_built: bool | None = None, nearest: DataFrame | None = None) -> DataFrame:
     """The findings of several checks; link checks are left out while the link graph was never built.
 
-    Checks of similar pairs need ``described``, ``island`` needs ``nearest`` (of ``best_neighbour``).
+    Checks of similar pairs need ``described``, ``island`` needs ``nearest`` (of ``retrieval.nearest_in_group``).
     """
     unknown = set(checks) - set(ALL_CHECKS)
     if unknown:

@@ -1,20 +1,20 @@
 """Keyword and vector search over chunks, and the fusion of ranked lists.
 
 Statistics of BM25 (number of rows, document frequencies, mean length) are always global; a scope narrows
-the candidates only. A query's few terms are literals in the plan, so postings are filtered before any
-shuffle and only matching rows are scored.
+the candidates only. ``KeywordIndex`` keeps a table's postings clustered by term, so a query reads those of its
+terms only; without one a query tokenises the table. A query's few terms are literals in the plan, so postings are
+filtered before any shuffle and only matching rows are scored.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomspark.functions.text import CJK, LOWER, UPPER, tokens
+from loomspark.functions.text import CJK, LOWER, UPPER, cut_text, token_list, tokens
 from loomspark.functions.vectors import cosine_distance
 
 K1, B = 1.2, 0.75
@@ -48,7 +48,7 @@ def keyword_query(text: str) -> KeywordQuery:
                     dropped.append(run)
                 phrases += [(run[i : i + 2],) for i in range(len(run) - 1)]
             else:
-                parts = tuple(p.translate(str.maketrans(UPPER, LOWER)) for p in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7F])+", run))
+                parts = tuple(cut_text(p.translate(str.maketrans(UPPER, LOWER))) for p in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7F])+", run))
                 if parts:
                     phrases.append(parts)
     return KeywordQuery(tuple(phrases), tuple(dropped))
@@ -74,23 +74,97 @@ def _once(df: DataFrame, keep: list[Column], made: list[Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
-def bm25(chunks: DataFrame, query: KeywordQuery | str, key: str, columns: dict[str, float], scope: Column | None = None, k: int = CANDIDATES) -> DataFrame:
+@dataclass(frozen=True)
+class KeywordIndex:
+    """A table's postings: a row for each term and key with the term's places in each column and the row's length.
+
+    They are written sorted by term, so a filter on a few terms reads a few row groups. Rows with an empty term
+    stand for the table's rows themselves; their number and mean length are kept.
+    """
+
+    postings: DataFrame
+    key: str
+    columns: tuple[str, ...]
+    rows: int
+    mean: float
+
+    @classmethod
+    def build(cls, chunks: DataFrame, key: str, columns: Sequence[str]) -> KeywordIndex:
+        import pyarrow as pa
+
+        from loomspark.plans.store import materialize
+
+        kind, names = dict(chunks.dtypes)[key], list(columns)
+        places = pa.list_(pa.list_(pa.int32()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    piece = batch.slice(at, 256)
+                    texts, terms, row, found, sizes = [piece.column(c).to_pylist() for c in names], [], [], [], []
+                    for i in range(piece.num_rows):
+                        own: dict[str, list[list[int]]] = {"": [[] for _ in names]}
+                        size = 0
+                        for j, column in enumerate(texts):
+                            for p, t in enumerate(token_list(column[i])):
+                                if (held := own.get(t)) is None:
+                                    held = own[t] = [[] for _ in names]
+                                held[j].append(p)
+                                size += 1
+                        terms += own
+                        found += own.values()
+                        row += [i] * len(own)
+                        sizes += [size] * len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), piece.column(key).take(pa.array(row, pa.int32())), pa.array(sizes, pa.int32()), pa.array(found, places)], names=["term", key, "len", "at"])
+
+        made = chunks.select(key, *names).mapInArrow(run, f"term string, `{key}` {kind}, len int, at array<array<int>>")
+        stored = materialize(made.repartitionByRange("term", key).sortWithinPartitions("term", key), "postings").df
+        rows, mean = stored.where("term = ''").agg(F.count(F.lit(1)), F.avg("len")).first()
+        return cls(stored, key, tuple(names), rows, mean or 0.0)
+
+    def counted(self, q: KeywordQuery) -> DataFrame:
+        """key, _len and the number of each phrase in each column, of the rows that hold a term of the query."""
+        wanted = sorted({t for p in q.phrases for t in p})
+        met = self.postings.where(F.col("term").isin(wanted)).groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("_m"), F.first("len").alias("_len"))
+
+        def count(phrase: tuple[str, ...], j: int) -> Column:
+            at = [F.coalesce(F.try_element_at("_m", F.lit(t))[j], F.expr("cast(array() as array<int>)")) for t in phrase]
+            both = at[0]
+            for step, other in enumerate(at[1:], 1):
+                both = F.array_intersect(both, F.transform(other, lambda x, n=step: x - n))
+            return F.size(both)
+
+        parts = [count(p, j).alias(f"_c{i}_{j}") for i, p in enumerate(q.phrases) for j in range(len(self.columns))]
+        return _once(met, [F.col(self.key)], [F.col("_len"), *parts])
+
+
+def bm25(chunks: DataFrame, query: KeywordQuery | str, key: str, columns: dict[str, float], scope: Column | None = None, k: int = CANDIDATES, index: KeywordIndex | None = None) -> DataFrame:
     """(key, score): the k best rows for the query; larger is better, ties by key.
 
-    ``columns`` gives each text column's weight. Rows are tokenised once; totals and document frequencies
-    come from one aggregate, which is a single row.
+    ``columns`` gives each text column's weight. With an index of these columns only the query's postings are
+    read, and the scope's keys; without one, rows are tokenised once. Totals and document frequencies are one row.
     """
     q = keyword_query(query) if isinstance(query, str) else query
     if not q.phrases:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
-    named = {c: f"_t{i}" for i, c in enumerate(columns)}
-    base = _once(chunks, [F.col(key), (scope if scope is not None else F.lit(True)).alias("_in")], [tokens(F.col(c)).alias(t) for c, t in named.items()])
-    length = sum((F.size(t) for t in named.values()), F.lit(0)).alias("_len")
-    parts = [_count_phrase(t, p).alias(f"_c{i}_{j}") for i, p in enumerate(q.phrases) for j, t in enumerate(named.values())]
-    counted = _once(base, [F.col(key), F.col("_in")], [length, *parts])
-    any_of = lambda i: sum((F.col(f"_c{i}_{j}") for j in range(len(named))), F.lit(0))
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(any_of(i) > 0).alias(f"_d{i}") for i in range(len(q.phrases))))
-    hits = counted.where(F.col("_in") & (sum((any_of(i) for i in range(len(q.phrases))), F.lit(0)) > 0)).crossJoin(F.broadcast(stats))  # one row
+    any_of = lambda i: sum((F.col(f"_c{i}_{j}") for j in range(len(columns))), F.lit(0))
+    frequencies = [F.count_if(any_of(i) > 0).alias(f"_d{i}") for i in range(len(q.phrases))]
+    if index is not None:
+        if index.key != key or index.columns != tuple(columns):
+            raise ValueError("the index is of another key or of other columns")
+        counted = index.counted(q)
+        stats = counted.agg(F.lit(index.rows).alias("_n"), F.lit(index.mean).alias("_avg"), *frequencies)
+        if scope is not None:
+            counted = counted.join(chunks.where(scope).select(key), key, "left_semi")
+    else:
+        named = {c: f"_t{i}" for i, c in enumerate(columns)}
+        base = _once(chunks, [F.col(key), (scope if scope is not None else F.lit(True)).alias("_in")], [tokens(F.col(c)).alias(t) for c, t in named.items()])
+        length = sum((F.size(t) for t in named.values()), F.lit(0)).alias("_len")
+        parts = [_count_phrase(t, p).alias(f"_c{i}_{j}") for i, p in enumerate(q.phrases) for j, t in enumerate(named.values())]
+        counted = _once(base, [F.col(key), F.col("_in")], [length, *parts])
+        stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *frequencies)
+        counted = counted.where("_in")
+    hits = counted.where(sum((any_of(i) for i in range(len(q.phrases))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(q.phrases)):
         idf = F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
@@ -123,24 +197,58 @@ def fuse(first: DataFrame, second: DataFrame, key: str, floor: int = FTS_FLOOR,
     return both.select(key, "rank_a", "rank_b", (part("rank_a") + part("rank_b")).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def search(chunks: DataFrame, text: str | None, vector: Sequence[float] | None, key: str, columns: dict[str, float], mode: str = "hybrid", embedding: str = "embedding", scope: Column | None = None, candidates: int = CANDIDATES, top: int = TOP) -> DataFrame:
-    """Hybrid, vector or keyword search: ranked (key, rank_a, rank_b, score) joined with its chunks.
+MODES = ("hybrid", "vector", "keyword")
 
-    Hybrid without a vector is keyword search; vector search without one is an error.
-    """
-    if mode not in ("hybrid", "vector", "keyword"):
+
+def _lists(chunks: DataFrame, text: str | None, vector: Sequence[float] | None, key: str, columns: dict[str, float], mode: str, embedding: str, scope: Column | None, candidates: int, index: KeywordIndex | None, collection: object) -> tuple[str, DataFrame, DataFrame]:
+    """The mode that holds, and both ranked lists."""
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "vector" and vector is None:
         raise ValueError("vector search needs a vector")
     if vector is None:
         mode = "keyword"
+    if collection is not None:
+        own = F.col("collection") == F.lit(collection)
+        scope = own if scope is None else own & scope
     none = chunks.select(key, F.lit(1).alias("rank")).limit(0)
     near = ranked(knn(chunks.where(F.col(embedding).isNotNull()), vector, key, embedding, scope, candidates), key, F.col("distance")) if mode != "keyword" else none
-    said = ranked(bm25(chunks, text or "", key, columns, scope, candidates), key, F.desc("score")) if mode != "vector" else none
+    said = ranked(bm25(chunks, text or "", key, columns, scope, candidates, index), key, F.desc("score")) if mode != "vector" else none
+    return mode, near, said
+
+
+def search(chunks: DataFrame, text: str | None, vector: Sequence[float] | None, key: str, columns: dict[str, float], mode: str = "hybrid", embedding: str = "embedding", scope: Column | None = None, candidates: int = CANDIDATES, top: int = TOP, index: KeywordIndex | None = None, collection: object = None) -> DataFrame:
+    """Hybrid, vector or keyword search: ranked (key, rank_a, rank_b, score) joined with its chunks.
+
+    Hybrid without a vector is keyword search; vector search without one is an error. ``collection`` keeps to the
+    rows with this value in a column of that name, before either list is cut.
+    """
+    mode, near, said = _lists(chunks, text, vector, key, columns, mode, embedding, scope, candidates, index, collection)
     fused = fuse(near, said, key, floor=0 if mode == "keyword" else FTS_FLOOR, k=top)
     return F.broadcast(fused).join(chunks, key).orderBy(F.desc("score"), key)  # at most ``top`` rows
 
 
+@dataclass(frozen=True)
+class SearchReport:
+    """A search with what it left out: hits, dropped terms, whether the keyword list was too short, and list lengths."""
+
+    mode: str
+    hits: DataFrame
+    dropped: tuple[str, ...]
+    keywords_skipped: bool
+    vector_candidates: int
+    keyword_candidates: int
+
+
+def search_report(chunks: DataFrame, text: str | None, vector: Sequence[float] | None, key: str, columns: dict[str, float], mode: str = "hybrid", embedding: str = "embedding", scope: Column | None = None, candidates: int = CANDIDATES, top: int = TOP, index: KeywordIndex | None = None, collection: object = None) -> SearchReport:
+    """``search`` with a report. The keyword list counts as skipped when it has fewer than ``FTS_FLOOR`` rows."""
+    held, near, said = _lists(chunks, text, vector, key, columns, mode, embedding, scope, candidates, index, collection)
+    n_near, n_said = near.count(), said.count()  # at most ``candidates`` each
+    hits = search(chunks, text, vector, key, columns, mode, embedding, scope, candidates, top, index, collection)
+    dropped = keyword_query(text or "").dropped if held != "vector" else ()
+    return SearchReport(held, hits, dropped, held != "vector" and n_said < FTS_FLOOR, n_near, n_said)
+
+
 def rank_recency(memories: DataFrame, key: str, created: str, scope: str | None = None, k: int = 20) -> DataFrame:
     """(key, rank) by newest first, of rows that are in scope."""
     kept = memories.where(in_scope(scope))
@@ -154,37 +262,74 @@ def in_scope(scope: str | None, column: str = "scope") -> Column:
     return blank if scope is None else blank | (F.col(column) == scope)
 
 
+def _cells(vectors: DataFrame, key: str, group: str, doc: str, vector: str, block: int) -> DataFrame:
+    """Rows of a group dealt to square blocks by a hash of their key: each pair of blocks is one cell (x, y)."""
+    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
+    placed = vectors.select(group, key, doc, vector).join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1), lambda p: F.struct(F.least(p, F.col("_own")).alias("x"), F.greatest(p, F.col("_own")).alias("y")))
+    return placed.select(group, key, doc, vector, "_own", F.inline(cells))
+
+
+def _compared(pdf, key: str, doc: str, vector: str):  # noqa: ANN001, ANN202
+    """Of a cell the two sides, the matrix of cosines, and where it holds a pair of different docs, each once."""
+    import numpy as np
+
+    x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+    left = pdf[pdf["_own"] == x]
+    right = left if x == y else pdf[pdf["_own"] == y]
+    if not len(left) or not len(right):
+        return None
+    m = [np.stack(d[vector].to_numpy()).astype(np.float64) for d in (left, right)]
+    m = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in m]
+    a, b = left[key].to_numpy(), right[key].to_numpy()
+    ok = left[doc].to_numpy()[:, None] != right[doc].to_numpy()[None, :]
+    return a, b, m[0] @ m[1].T, ok & (a[:, None] < b[None, :] if x == y else a[:, None] != b[None, :])
+
+
 def similar_pairs(vectors: DataFrame, key: str, group: str, doc: str, least: float, vector: str = "embedding", block: int = 512) -> DataFrame:
     """(a, b, cos): pairs of one group, of different docs, a before b, with a cosine of at least ``least``.
 
-    Rows of a group are dealt to square blocks by a hash of their key: every pair of blocks is a task's work, so a
-    large group is split, and vectors are compared as matrices.
+    Exact: every pair of blocks is a task's work, so a large group is split, and vectors are compared as matrices.
     """
     import numpy as np
     import pandas as pd
 
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
-    placed = vectors.select(group, key, doc, vector).join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1), lambda p: F.struct(F.least(p, F.col("_own")).alias("x"), F.greatest(p, F.col("_own")).alias("y")))
-    spread = placed.select(group, key, doc, vector, "_own", F.inline(cells))
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left = pdf[pdf["_own"] == x]
-        right = left if x == y else pdf[pdf["_own"] == y]
-        if not len(left) or not len(right):
+        if (got := _compared(pdf, key, doc, vector)) is None:
             return pd.DataFrame({"a": [], "b": [], "cos": []})
-        m = [np.stack(d[vector].to_numpy()).astype(np.float64) for d in (left, right)]
-        m = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in m]
-        i, j = np.nonzero((c := m[0] @ m[1].T) >= least)
-        a, b, da, db = left[key].to_numpy()[i], right[key].to_numpy()[j], left[doc].to_numpy()[i], right[doc].to_numpy()[j]
-        ok = (a < b if x == y else a != b) & (da != db)
-        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "cos": c[i, j][ok]})
+        a, b, c, ok = got
+        i, j = np.nonzero(ok & (c >= least))
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cos": c[i, j]})
+
+    return _cells(vectors, key, group, doc, vector, block).groupBy(group, "x", "y").applyInPandas(compare, f"a {kind[key]}, b {kind[key]}, cos double")
 
-    return spread.groupBy(group, "x", "y").applyInPandas(compare, f"a {kind[key]}, b {kind[key]}, cos double")
 
+def nearest_in_group(vectors: DataFrame, key: str, group: str, doc: str, vector: str = "embedding", block: int = 512) -> DataFrame:
+    """(chunk, nearest, cos): each row's most similar row of its group in another doc, ties by key.
+
+    Each cell gives one row for each of its rows, the best in the cell; no pairs are put out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
 
-def idf(n: int, df: int) -> float:
-    """The weight of a term in ``df`` of ``n`` rows."""
-    return max(math.log((n - df + 0.5) / (df + 0.5)), 0) or 1e-6
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (got := _compared(pdf, key, doc, vector)) is None:
+            return pd.DataFrame({"chunk": [], "nearest": [], "cos": []})
+        a, b, c, ok = got
+        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
+            ok = ok | ok.T
+        parts = []
+        for own, other, m, on in ((a, b, c, ok), (b, a, c.T, ok.T)):
+            order = np.argsort(other, kind="stable")  # the first of equals has the least key
+            m = np.where(on[:, order], m[:, order], -np.inf)
+            at = m.argmax(1)
+            there = np.flatnonzero(np.isfinite(m[np.arange(len(own)), at]))
+            parts.append(pd.DataFrame({"chunk": own[there], "nearest": other[order][at[there]], "cos": m[there, at[there]]}))
+        return pd.concat(parts[: 1 if a is b or len(a) == len(b) and (a == b).all() else 2])
+
+    found = _cells(vectors, key, group, doc, vector, block).groupBy(group, "x", "y").applyInPandas(best, f"chunk {kind[key]}, nearest {kind[key]}, cos double")
+    return found.groupBy("chunk").agg(F.max_by("nearest", F.struct("cos", -F.col("nearest"))).alias("nearest"), F.max("cos").alias("cos"))
