@@ -130,13 +130,32 @@ _sql("sql_full_outer", "customer supplier", "SELECT coalesce(c.n, s.n) AS nation
 _sql("sql_json", "events", "SELECT get_json_object(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
 
 
-def _julian(spark: SparkSession, sf: str) -> DataFrame:
-    sqlgate.register_shims(spark)
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    return sqlgate.run_sql(spark, "SELECT event_type, julianday(date_format(max(ts), 'yyyy-MM-dd')) - julianday(date_format(min(ts), 'yyyy-MM-dd')) AS days FROM events GROUP BY 1")
+def _dialect(name: str, tables: str, text: str, duck: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        for t in tables.split():
+            table(spark, sf, t).createOrReplaceTempView(t)
+        return sqlgate.run_sql(spark, text, dialect=True)
 
+    _add(name, duck, run)
 
-_add("sql_julianday", "SELECT event_type, date_diff('day', min(ts), max(ts))::DOUBLE AS days FROM events GROUP BY 1", _julian)
+
+_dialect("sql_julianday", "events", "SELECT event_type, julianday(strftime('%Y-%m-%d', max(ts))) - julianday(strftime('%Y-%m-%d', min(ts))) AS days FROM events GROUP BY 1", "SELECT event_type, date_diff('day', min(ts), max(ts))::DOUBLE AS days FROM events GROUP BY 1")
+_dialect(
+    "sql_dates", "orders",
+    "SELECT o_orderkey, date(o_orderdate, '+10 days') AS later, date(o_orderdate, 'start of month', '-1 day') AS last, strftime('%Y/%m', o_orderdate) AS month, datetime(o_orderdate, '+' || 90 || ' minutes') AS at FROM orders",
+    "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d') AS later, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d') AS last, strftime(o_orderdate, '%Y/%m') AS month, strftime(o_orderdate::TIMESTAMP + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS at FROM orders",
+)
+_dialect(
+    "sql_compat_texts", "part",
+    "SELECT p_partkey, iif(p_size > 25, 'large', 'small') AS size, min(p_size, 20, nullif(p_size, 7)) AS low, max(p_size, 20) AS high, rtrim(p_name, 'aeiou') AS r, ltrim(p_brand, 'B') AS l, trim(p_type, 'SLDE') AS t, hex(p_size) AS h, unicode(p_name) AS u, printf('%d-%s', p_size, p_brand) AS p FROM part",
+    "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS size, CASE WHEN p_size = 7 THEN NULL ELSE least(p_size, 20) END AS low, greatest(p_size, 20) AS high, rtrim(p_name, 'aeiou') AS r, ltrim(p_brand, 'B') AS l, trim(p_type, 'SLDE') AS t, hex(p_size::VARCHAR) AS h, unicode(p_name) AS u, p_size || '-' || p_brand AS p FROM part",
+)
+_dialect(
+    "sql_compat_aggregates", "part",
+    "SELECT p_brand, total(p_size) AS s, total(p_size) FILTER (WHERE p_size > 1000) AS none, group_concat(DISTINCT p_size) AS sizes, group_concat(p_type, '; ') FILTER (WHERE p_size < 5) AS types FROM part GROUP BY p_brand",
+    "SELECT p_brand, sum(p_size)::DOUBLE AS s, 0.0::DOUBLE AS none, string_agg(DISTINCT p_size::VARCHAR, ',' ORDER BY p_size::VARCHAR) AS sizes, string_agg(p_type, '; ' ORDER BY p_type) FILTER (WHERE p_size < 5) AS types FROM part GROUP BY p_brand",
+)
+_sql("sql_right_cross", "nation region", "SELECT n.n_name, r.r_name, k.one FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey < 5 CROSS JOIN (SELECT 1 AS one) k")
 
 SAVED = "-- Orders of a customer\n-- largest first\n-- param: customer\n-- param: n = 5\nSELECT o_orderkey, o_totalprice FROM orders\nWHERE o_custkey = :customer ORDER BY o_totalprice DESC, o_orderkey LIMIT :n"
 
@@ -168,7 +187,15 @@ _add("facts_asof", _WON.format(src=_FACTS, where="WHERE \"at\" <= '2024-01-15'")
 _add("facts_known_by", _WON.format(src=_FACTS, where="WHERE recorded_at <= '2024-01-20 12'"), lambda s, d: _cols(facts_op.current(facts_table(s, d), known_by="2024-01-20 12")))
 _add("facts_scope", f"SELECT * FROM ({_WON.format(src=_FACTS, where='')}) WHERE scope = '' OR scope = 's1'", lambda s, d: _cols(facts_op.current(facts_table(s, d), "s1", scoped=True)))
 _add("facts_scope_none", f"SELECT * FROM ({_WON.format(src=_FACTS, where='')}) WHERE scope = ''", lambda s, d: _cols(facts_op.current(facts_table(s, d), scoped=True)))
-_add("facts_history", f"SELECT key, \"at\", scope, line_no FROM {_FACTS} WHERE key = (SELECT min(user_id::VARCHAR || '/' || event_type) FROM events WHERE user_id = 7)", lambda s, d: _cols(facts_table(s, d).join(F.broadcast(table(s, d, "events").where("user_id = 7").agg(F.min(F.concat_ws("/", F.col("user_id").cast("string"), "event_type")).alias("key"))), "key")))
+_KEY = "(SELECT min(user_id::VARCHAR || '/' || event_type) FROM events WHERE user_id = 7)"
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    key = table(s, d, "events").where("user_id = 7").agg(F.min(F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))).first()[0]  # one value
+    return _cols(facts_op.history(facts_table(s, d), key or ""))
+
+
+_add("facts_history", f"SELECT key, \"at\", scope, line_no FROM {_FACTS} WHERE key = {_KEY}", _history)
 
 # --- kinds -------------------------------------------------------------------------------------------
 

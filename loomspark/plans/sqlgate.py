@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Temporary SQL functions for names that Spark lacks.
-SHIMS = (
-    "CREATE OR REPLACE TEMPORARY FUNCTION julianday(d STRING) RETURNS DOUBLE RETURN unix_timestamp(CAST(d AS TIMESTAMP)) / 86400.0D + 2440587.5D",
-    "CREATE OR REPLACE TEMPORARY FUNCTION iif(c BOOLEAN, a STRING, b STRING) RETURNS STRING RETURN CASE WHEN c THEN a ELSE b END",
-    "CREATE OR REPLACE TEMPORARY FUNCTION total(x DOUBLE) RETURNS DOUBLE RETURN coalesce(x, 0.0D)",
+from loomspark.plans import dialect as _dialect
+
+#: Roots of plans that only read.
+ALLOWED = frozenset(
+    "Project Aggregate Sort GlobalLimit LocalLimit Offset Filter Distinct Union Except Intersect Join Window LateralJoin Pivot Unpivot SubqueryAlias Generate "
+    "UnresolvedWith WithWindowDefinition UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedOrderBy OneRowRelation ExplainCommand".split()
 )
-REFUSED = re.compile(r"Drop|Insert|Create|Alter|Delete|Update|Merge|Truncate|Set|Use|Refresh|Load|Analyze|Cache|Uncache|Add|Replace|Repair|Call|Execute|Write|Append|Overwrite")
 
 
 class SqlError(ValueError):
@@ -29,11 +29,6 @@ class SqlError(ValueError):
         self.code = code
 
 
-def register_shims(spark: SparkSession) -> None:
-    for s in SHIMS:
-        spark.sql(s)
-
-
 def check_read_only(spark: SparkSession, sql: str) -> None:
     """Refuse what is no single query."""
     if not sql.strip():
@@ -43,13 +38,17 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
     except Exception as e:
         raise SqlError("Syntax", str(e).split("\n")[0]) from None
     name = plan.getClass().getSimpleName()
-    if name != "ExplainCommand" and (REFUSED.search(name) or "Command" in name):
+    if name not in ALLOWED:
         raise SqlError("NotReadOnly", name)
     if not re.match(r"(?is)\s*(?:(?:--[^\n]*\n|/\*.*?\*/)\s*)*\(*\s*(select|with|explain|values|from|table)\b", sql):
         raise SqlError("NotReadOnly", sql.split()[0])
 
 
-def run_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
+def run_sql(spark: SparkSession, sql: str, args: dict | None = None, dialect: bool = False) -> DataFrame:
+    """The rows of one query; with ``dialect`` its calls are taken as an embedded database's, see ``plans.dialect``."""
+    if dialect:
+        _dialect.register(spark)
+        sql = _dialect.rewrite(sql)
     check_read_only(spark, sql)
     return spark.sql(sql, args=args or {})
 
@@ -108,8 +107,8 @@ def bind(query: SavedQuery, args: dict[str, object]) -> dict[str, object]:
     return values
 
 
-def run_saved(spark: SparkSession, query: SavedQuery, **args: object) -> DataFrame:
-    return run_sql(spark, query.sql, bind(query, args))
+def run_saved(spark: SparkSession, query: SavedQuery, dialect: bool = False, **args: object) -> DataFrame:
+    return run_sql(spark, query.sql, bind(query, args), dialect)
 
 
 def list_saved(folder: str) -> list[SavedQuery]:
