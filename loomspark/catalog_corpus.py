@@ -62,7 +62,8 @@ def turn_chunks(s: SparkSession, d: str) -> DataFrame:
 
 _conv = lambda s, d: table(s, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct().withColumn("rel_path", F.concat(F.lit("c/"), F.col("doc_id").cast("string"), F.lit(".md")))
 _TURNS = "(SELECT conv_id AS doc_id, ceil(strlen(text) / 4)::BIGINT AS n_tokens FROM conversations)"
-_add("fragment", f"SELECT 'c/' || doc_id || '.md' AS subject, sum(n_tokens)::VARCHAR AS detail FROM {_TURNS} WHERE doc_id % 2 = 0 OR n_tokens > 40 GROUP BY doc_id HAVING count(*) = 1 AND sum(n_tokens) < 100", lambda s, d: quality.fragment(_conv(s, d), turn_chunks(s, d).where("doc_id % 2 = 0 OR n_tokens > 40")).select("subject", "detail"))
+_turn_docs = lambda s, d: table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat_ws("/", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("rel_path"), token_count(F.col("text")).alias("n_tokens"))
+_add("fragment", "SELECT 't/' || conv_id || '/' || turn AS subject, ceil(strlen(text) / 4)::BIGINT::VARCHAR AS detail FROM conversations WHERE ceil(strlen(text) / 4) < 40", lambda s, d: quality.fragment((t := _turn_docs(s, d)).select("doc_id", "rel_path"), t.select("doc_id", "n_tokens"), 40).select("subject", "detail"))
 _add("oversized", f"SELECT 'c/' || doc_id || '.md' AS subject, count(*)::VARCHAR AS detail FROM {_TURNS} GROUP BY doc_id HAVING count(*) > 6", lambda s, d: quality.oversized(_conv(s, d), turn_chunks(s, d), 6).select("subject", "detail"))
 _add("orphan_chunk", f"SELECT count(*)::VARCHAR AS subject, count(DISTINCT doc_id)::VARCHAR AS detail FROM {_TURNS} WHERE doc_id % 5 = 0 HAVING count(*) > 0", lambda s, d: quality.orphan_chunk(turn_chunks(s, d), _conv(s, d).where("doc_id % 5 <> 0")).select("subject", "detail"))
 _add("sweep_chunks", f"SELECT doc_id, n_tokens FROM {_TURNS} WHERE doc_id % 5 <> 0", lambda s, d: reconcile.sweep(turn_chunks(s, d), _conv(s, d).where("doc_id % 5 <> 0")))
@@ -89,8 +90,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY least(da, db), greatest(da, db)
 SELECT a, b, round(cos, 6) AS cos, CASE WHEN da % 20 = db % 20 THEN 'duplicate_content'
   WHEN (da % 9 = db % 9 AND da % 3 <> db % 3) OR a % 4 <> b % 4 THEN 'expected_overlap' ELSE 'near_duplicate' END AS class FROM r WHERE n = 1"""
 _add("pair_classes", _DESCRIBED, lambda s, d: _described(s, d).select("a", "b", F.round("cos", 6).alias("cos"), "class"))
-_add("pair_findings", None, lambda s, d: quality.pair_findings(_described(s, d)))
-_add("stale", None, lambda s, d: quality.stale(_described(s, d), F.lit("2024-09-01").cast("date")))
+_PATHED = f"WITH k AS ({_DESCRIBED}), q AS (SELECT *, 'p/q/x' || (a % 100 % 3) || '/n' || (a % 100 % 9) || '.md' AS pa, 'p/q/x' || (b % 100 % 3) || '/n' || (b % 100 % 9) || '.md' AS pb FROM k)"
+_add("pair_findings", _PATHED + " SELECT class AS \"check\", class || ':' || least(pa, pb) || '|' || greatest(pa, pb) AS key, least(pa, pb) AS subject, greatest(pa, pb) AS detail FROM q WHERE class <> 'expected_overlap'", lambda s, d: quality.pair_findings(_described(s, d)))
+_add(
+    "stale",
+    _PATHED + " SELECT 'stale' AS \"check\", 'stale:' || pa AS key, pa AS subject, newer AS detail FROM (SELECT pa, pb AS newer, row_number() OVER (PARTITION BY pa ORDER BY cos DESC, pb DESC) AS n FROM q WHERE class = 'near_duplicate') WHERE n = 1",
+    lambda s, d: quality.stale(_described(s, d), F.lit("2024-09-01").cast("date")),
+)
 
 # --- runs and reconciling ----------------------------------------------------------------------------
 
@@ -133,5 +139,15 @@ _add("store_counts", f"SELECT count(*) AS docs, count(*) FILTER (WHERE page_id %
 
 # --- documents ---------------------------------------------------------------------------------------
 
+def _chunk_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Of each document: does every character that is no white space stand in a chunk, and does every chunk stand in it."""
+    docs = table(s, d, "documents")
+    got = documents.chunk_table(docs, overlap=0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("c"), F.max("n_tokens").alias("most"))
+    bare = lambda t: F.regexp_replace(t, r"\s+", "")
+    met = docs.join(got, "doc_id").withColumn("joined", bare(F.array_join(F.transform("c", lambda x: x["text"]), "")))
+    return met.select("doc_id", F.md5(F.col("joined")).alias("digest"), (F.col("most") <= documents.MAXIMUM).alias("bounded"))
+
+
+_add("chunk_coverage", "SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest, true AS bounded FROM documents WHERE regexp_matches(text, '\\S')", _chunk_coverage)
 _add("chunk_documents", None, lambda s, d: documents.chunk_table(table(s, d, "documents")).select("doc_id", "idx", "n_tokens", F.sha2("text", 256).alias("sha")))
 _add("block_kinds", None, lambda s, d: documents.block_table(table(s, d, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))

@@ -208,11 +208,14 @@ def turns(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
-    return turns(s, d).where("n_tokens % 5 = 0").select("doc_id", "idx", (F.col("n_tokens") % 97 / 97.0).alias("score"))
+    """Every turn with the word ``the``, scored by its share of the turn's words."""
+    own = turns(s, d).withColumn("w", tokens(F.col("text"))).withColumn("n", F.size(F.filter("w", lambda t: t == "the")))
+    return own.where("n > 0").select("doc_id", "idx", (F.col("n") / F.size("w")).alias("score"))
 
 
-_SPANS = """
-WITH h AS (SELECT DISTINCT conv_id AS doc_id, greatest(turn - 1, 0) AS lo, turn + 1 AS hi FROM conversations WHERE ceil(strlen(text) / 4) % 5 = 0),
+_THE = f"(SELECT conv_id AS doc_id, turn, len(list_filter(w, lambda x: x = 'the')) AS n, len(w) AS l FROM (SELECT conv_id, turn, {_TOK.format(c='text')} AS w FROM conversations))"
+_SPANS = f"""
+WITH h AS (SELECT DISTINCT doc_id, greatest(turn - 1, 0) AS lo, turn + 1 AS hi FROM {_THE} WHERE n > 0),
 m AS (SELECT *, CASE WHEN coalesce(max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) + 1 < lo THEN 1 ELSE 0 END AS n FROM h),
 g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM m)
 SELECT doc_id, min(lo)::INT AS first, max(hi)::INT AS last FROM g GROUP BY doc_id, i"""
