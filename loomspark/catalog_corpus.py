@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomspark.functions.text import token_count
-from loomspark.operators import documents, links, quality, reconcile
+from loomspark.operators import documents, ignore, links, quality, reconcile
 from loomspark.session import table
 
 QUERIES: dict = {}
@@ -90,6 +90,42 @@ r AS (SELECT *, row_number() OVER (PARTITION BY least(da, db), greatest(da, db)
 SELECT a, b, round(cos, 6) AS cos, CASE WHEN da % 20 = db % 20 THEN 'duplicate_content'
   WHEN (da % 9 = db % 9 AND da % 3 <> db % 3) OR a % 4 <> b % 4 THEN 'expected_overlap' ELSE 'near_duplicate' END AS class FROM r WHERE n = 1"""
 _add("pair_classes", _DESCRIBED, lambda s, d: _described(s, d).select("a", "b", F.round("cos", 6).alias("cos"), "class"))
+_add(
+    "listed_pairs", f"SELECT a, b, class, n_of_class, n_of_class > 20 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY class) AS n_of_class, row_number() OVER (PARTITION BY class ORDER BY cos DESC, a, b) AS r FROM ({_DESCRIBED.replace('round(cos, 6) AS cos', 'cos')})) WHERE r <= 20",
+    lambda s, d: quality.listed_pairs(_described(s, d), 20).select("a", "b", "class", "n_of_class", "truncated"),
+)
+_add(
+    "delete_cascade", _RESOLVED + " SELECT link_id, doc_id, CASE WHEN target_doc_id % 4 = 0 THEN NULL ELSE target_doc_id END AS target_doc_id FROM resolved WHERE doc_id % 4 <> 0",
+    lambda s, d: reconcile.delete_cascade({"docs": docs(s, d), "links": resolved(s, d)}, docs(s, d).where("doc_id % 4 = 0"))["links"].select("link_id", "doc_id", "target_doc_id"),
+)
+_KIND_RAWS = ("a.md", "b/c.txt", "pic.png", "x.ts", "https://e.org/{}", "file:///{}", "mailto:a@{}", "notes://c/{}.md", "notes://c/{}.pdf", "stem{}")
+
+
+def _link_kinds(s: SparkSession, d: str) -> DataFrame:
+    """One inline link a page, of a form that its id sets, parsed from markdown."""
+    forms = F.array(*(F.replace(F.lit(r), F.lit("{}"), F.col("page_id").cast("string")) for r in _KIND_RAWS))
+    md = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("see [it]("), F.element_at(forms, (F.col("page_id") % len(_KIND_RAWS) + 1).cast("int")), F.lit(")\n")).alias("text"))
+    return documents.link_table(md).select("doc_id", "kind", "raw")
+
+
+_add(
+    "link_kinds",
+    "SELECT page_id AS doc_id, ['md', 'md', 'asset', 'asset', 'external', 'external', 'external', 'collection_uri', 'asset', 'md'][page_id % 10 + 1] AS kind, replace([" + ", ".join(f"'{r}'" for r in _KIND_RAWS) + "][page_id % 10 + 1], '{}', page_id::VARCHAR) AS raw FROM pages",
+    _link_kinds,
+)
+_RULES = "*.log\n/src1/\n!src2/en/7.log\nfr/\nsrc3/**/9?.md\n"
+
+
+def _ignored_paths(s: SparkSession, d: str) -> DataFrame:
+    base = table(s, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".log").otherwise(".md"))).alias("path"))
+    return base.select("doc_id", ignore.ignored(F.col("path"), F.lit(False), ignore.parse_rules(_RULES)).alias("ignored"))
+
+
+_add(
+    "ignored_paths",
+    "SELECT doc_id, source = 'src1' OR lang = 'fr' OR (doc_id % 7 = 0 AND NOT (source = 'src2' AND lang = 'en' AND doc_id = 7)) OR (source = 'src3' AND doc_id % 7 <> 0 AND regexp_matches(doc_id::VARCHAR, '^9.$')) AS ignored FROM documents",
+    _ignored_paths,
+)
 _PATHED = f"WITH k AS ({_DESCRIBED}), q AS (SELECT *, 'p/q/x' || (a % 100 % 3) || '/n' || (a % 100 % 9) || '.md' AS pa, 'p/q/x' || (b % 100 % 3) || '/n' || (b % 100 % 9) || '.md' AS pb FROM k)"
 _add("pair_findings", _PATHED + " SELECT class AS \"check\", class || ':' || least(pa, pb) || '|' || greatest(pa, pb) AS key, least(pa, pb) AS subject, greatest(pa, pb) AS detail FROM q WHERE class <> 'expected_overlap'", lambda s, d: quality.pair_findings(_described(s, d)))
 _add(

@@ -5,7 +5,7 @@ Every check gives (check, key, subject, detail). A key is made from content, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomspark.functions.paths import basename, dirname
 
@@ -117,6 +117,16 @@ def pair_findings(described: DataFrame) -> DataFrame:
     return kept.select(F.col("class").alias("check"), F.concat(F.col("class"), F.lit(":"), first, F.lit("|"), second).alias("key"), first.alias("subject"), second.alias("detail"))
 
 
+PAIR_LIST = 200
+
+
+def listed_pairs(described: DataFrame, most: int = PAIR_LIST) -> DataFrame:
+    """The ``most`` closest pairs of each class, and on each row how many its class has and whether some are left out."""
+    own = Window.partitionBy("class")
+    numbered = described.withColumn("n_of_class", F.count(F.lit(1)).over(own)).withColumn("_r", F.row_number().over(own.orderBy(F.desc("cos"), "a", "b")))
+    return numbered.where(F.col("_r") <= most).withColumn("truncated", F.col("n_of_class") > most).drop("_r")
+
+
 def stale(described: DataFrame, now: Column, days: int = STALE_DAYS) -> DataFrame:
     """Older halves of near duplicates that have not changed for ``days``, each once, with the newer one."""
     old_is_a = F.col("a_mtime") <= F.col("b_mtime")
@@ -177,6 +187,4 @@ def compare_runs(now: DataFrame, before: DataFrame, checks: tuple[str, ...] | No
 
 def shown(findings: DataFrame, per_check: int = 15) -> DataFrame:
     """The first findings of each check."""
-    from pyspark.sql import Window
-
     return findings.withColumn("n", F.row_number().over(Window.partitionBy("check").orderBy("key", "detail"))).where(F.col("n") <= per_check)

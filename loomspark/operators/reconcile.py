@@ -41,6 +41,30 @@ def delete_by(table: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFra
     return table.join(keys.select(key).distinct(), key, "left_anti").select(*table.columns)
 
 
+def delete_cascade(tables: dict[str, DataFrame], keys: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
+    """All ``tables`` without the rows of these documents; a link to a deleted document stays and loses its target."""
+    gone, out = keys.select(key).distinct(), {}
+    for name, df in tables.items():
+        if key in df.columns:
+            df = delete_by(df, gone, key)
+        if f"target_{key}" in df.columns:
+            lost = gone.select(F.col(key).alias("_gone"))
+            df = df.join(lost, F.col(f"target_{key}") == F.col("_gone"), "left").withColumn(f"target_{key}", F.when(F.col("_gone").isNull(), F.col(f"target_{key}"))).drop("_gone")
+        out[name] = df
+    return out
+
+
+def touch(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """docs with the times and sizes of (doc_id, mtime, size), for files whose content is the same."""
+    new = seen.select("doc_id", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"))
+    return docs.join(new, "doc_id", "left").withColumn("mtime", F.coalesce("_mtime", "mtime")).withColumn("size", F.coalesce("_size", "size")).select(*docs.columns)
+
+
+def replace_meta(meta: DataFrame, docs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The memories' metadata with that of re-read documents replaced whole; a document without any loses its row."""
+    return replace_by(meta, fresh, "doc_id", docs)
+
+
 def sweep(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks that still have a document."""
     return chunks.join(docs.select("doc_id"), "doc_id", "left_semi").select(*chunks.columns)

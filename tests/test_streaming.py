@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from loomspark.streaming.ingest import ingest, latest, newest
+from loomspark.streaming.ingest import batch_writer, current, ingest, latest, versions
 
 
 def test_ingest_replaces_documents(spark, tmp_path):
@@ -12,10 +12,25 @@ def test_ingest_replaces_documents(spark, tmp_path):
         q = ingest(spark.readStream.schema(schema).parquet(src), out, cp, words)
         q.awaitTermination(120)
         assert not q.isActive
-    got = sorted((r.doc_id, r.word) for r in spark.read.parquet(newest(spark, out)).collect())
+    got = sorted((r.doc_id, r.word) for r in current(spark, out).collect())
     assert got == [(1, "a"), (1, "b"), (2, "d"), (2, "e"), (3, "f")]
 
 
+def test_versions_are_folded_and_batches_run_again(spark, tmp_path):
+    out, keep = str(tmp_path / "t"), lambda df: df.where("text <> ''")
+    write = batch_writer(out, keep, "doc_id", compact_every=3)
+    want = {}
+    for n in range(7):
+        rows = [(n, f"t{n}"), (n // 2, "" if n == 5 else f"again{n}")]
+        want |= dict(rows)
+        batch = spark.createDataFrame(rows, "doc_id long, text string")
+        write(batch, n)
+        write(batch, n)  # run again
+    assert {r.doc_id: r.text for r in current(spark, out).collect()} == {k: v for k, v in want.items() if v}
+    assert len(versions(spark, out, "base")) == 1 and len(versions(spark, out, "rows")) < 3
+    assert current(spark, str(tmp_path / "none")) is None
+
+
 def test_latest_ignores_arrival(spark, tmp_path):
     src = str(tmp_path / "facts")
     schema = "key string, value string, at string, line_no long"
