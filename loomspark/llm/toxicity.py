@@ -259,12 +259,13 @@ class _Terms(dict):
 def weighted(sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Vectors:
     """Unit TF-IDF vectors from rows of terms and counts; terms of no weight are left out."""
     w = (1 + np.log(counts)) * idf[terms]
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     keep = w > 0
-    row, terms, w = row[keep], terms[keep], w[keep]
-    norm = np.sqrt(np.bincount(row, w * w, len(sizes)))
+    if not keep.all():
+        row, terms, w = row[keep], terms[keep], w[keep]
+    norm = np.sqrt(np.bincount(row, w.astype(float) ** 2, len(sizes)))
     ptr = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes)))))
-    return Vectors(ptr, terms, w / norm[row])
+    return Vectors(ptr, terms, w / norm[row].astype(w.dtype))
 
 
 def _logit(p: float) -> float:
@@ -300,17 +301,22 @@ def fit(ids: list, hashes: list[bytes], counts: list[bytes], labels: Sequence[in
     if not 0 < pos < n:
         return model
     sizes = np.array([len(h) // 8 for h in hashes])
-    names, terms = np.unique(np.frombuffer(b"".join(hashes), U), return_inverse=True)
-    tf = np.frombuffer(b"".join(counts), np.uint32).astype(float)
-    row = np.repeat(np.arange(n), sizes)
-    df, both = np.bincount(terms, minlength=len(names)), np.bincount(terms, y[row], len(names))
+    flat = np.frombuffer(b"".join(hashes), U)
+    names = np.unique(flat)
+    terms = np.searchsorted(names, flat).astype(np.int32)
+    del flat
+    tf = np.frombuffer(b"".join(counts), np.uint32).astype(np.float32)
+    df = np.bincount(terms, minlength=len(names))
+    both = np.bincount(terms[np.repeat(y > 0, sizes)], minlength=len(names))
     spread = df * (n - df) * (pos * (n - pos))
     phi = np.abs(n * both - df * pos) / np.sqrt(np.maximum(spread, 1))  # 0 for a term of every example
     idf = ((np.log((1 + n) / (1 + df)) + 1) * phi).astype(np.float32)
     rows = weighted(sizes, terms, tf, idf)
+    del terms, tf
     order = _by_likeness(rows, df)
     at, _ = _ranges(rows.ptr[order], rows.ptr[order + 1])
     rows = Vectors(np.concatenate(([0], np.cumsum(np.diff(rows.ptr)[order]))), rows.terms[at], rows.weights[at])
+    del at
     model.ids, model.labels = [ids[i] for i in order], y[order]
     model.shared = Lexicon(names, idf, BlockMaxIndex.build(rows, len(names)))
     return model
@@ -358,7 +364,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
         hashes, counts = counted(batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "hashes": hashes, "counts": counts}
 
-    got = map_columns(rows.select("doc_id", "text", F.col("toxic").cast("long")), count, "doc_id long, toxic long, hashes binary, counts binary").toArrow().sort_by("doc_id")
+    got = map_columns(rows.select("doc_id", "text", F.col("toxic").cast("long")), count, "doc_id long, toxic long, hashes binary, counts binary").toArrow()
+    got = got.take(np.argsort(got["doc_id"].to_numpy()))
     model = fit(got["doc_id"].to_pylist(), got["hashes"].to_pylist(), got["counts"].to_pylist(), [int(x > 0) for x in got["toxic"].to_pylist()])
     del got
     if model.shared is not None:
