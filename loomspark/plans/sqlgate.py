@@ -107,6 +107,18 @@ def bind(query: SavedQuery, args: dict[str, object]) -> dict[str, object]:
     return values
 
 
+HISTORY = "query string, name string"
+
+
+def run_logged(spark: SparkSession, sql: str, log: str, name: str = "", args: dict | None = None, dialect: bool = False) -> DataFrame:
+    """``run_sql``, with the statement appended to the history in folder ``log`` once it was accepted."""
+    from loomspark.sources import history
+
+    out = run_sql(spark, sql, args, dialect)
+    history.append(spark, log, query=sql, name=name)
+    return out
+
+
 def run_saved(spark: SparkSession, query: SavedQuery, dialect: bool = False, **args: object) -> DataFrame:
     return run_sql(spark, query.sql, bind(query, args), dialect)
 

@@ -66,11 +66,3 @@ def csv_rows(df: DataFrame) -> DataFrame:
     """One text column ``value``: csv, quoted only around commas, quotes, line breaks and edge spaces."""
     cell = lambda c: F.when(c.rlike("[,\"\\r\\n]|^ | $"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     return df.select(F.concat_ws(",", *(cell(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns)).alias("value"))
-
-
-def append_trace(df: DataFrame, path: str, **about: object) -> None:
-    """Append a search's results to a JSON-lines log, one line per query."""
-    one = df.agg(F.collect_list(F.struct(*df.columns)).alias("results"))
-    for k, v in about.items():
-        one = one.withColumn(k, F.lit(v))
-    one.withColumn("at", F.current_timestamp()).write.mode("append").json(path)

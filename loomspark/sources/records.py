@@ -7,6 +7,7 @@ doubles. What a kind means is in the column's metadata, so a table carries its s
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 
@@ -27,6 +28,11 @@ class HeaderMismatch(ValueError):
     """Files of one record type have different headers."""
 
 
+def record_types(files: DataFrame, path: str = "rel_path") -> DataFrame:
+    """(type, files): the record types of a listing of files, with the number of files of each."""
+    return files.select(record_type(F.col(path)).alias("type")).where("type is not null").groupBy("type").agg(F.count(F.lit(1)).alias("files")).orderBy("type")
+
+
 def record_type(path: Column) -> Column:
     """The type that a path below ``records/`` belongs to."""
     return F.nullif(F.regexp_extract(path, r"(?:^|/)records/([^/]+)/.*\.csv$", 1), F.lit(""))
@@ -40,10 +46,12 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], header: Sequence[s
     paths = [paths] if isinstance(paths, str) else list(paths)
     options = {"multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if header is None:
-        firsts = spark.read.text(paths, wholetext=True).select(F.regexp_extract("value", "^\\ufeff?([^\\r\\n]*)", 1).alias("h")).distinct().limit(2).collect()
+        lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        own = lines.where("b = 0 and value rlike '[^ \\t\\r\ufeff]'").groupBy("f").agg(F.min_by("value", "i").alias("h"))  # a file's first line is in its first block
+        firsts = own.select(F.regexp_replace("h", "^\ufeff|\r$", "").alias("h")).distinct().limit(2).collect()
         if len(firsts) > 1:
             raise HeaderMismatch(", ".join(sorted(r.h for r in firsts)))
-        header = [h.strip(" \t\"") for h in firsts[0].h.split(",")] if firsts and firsts[0].h else []
+        header = [h.strip(" \t") for h in next(csv.reader([firsts[0].h], skipinitialspace=True))] if firsts else []
     if len(set(header)) != len(header):
         raise HeaderMismatch(f"a name occurs twice: {', '.join(header)}")
     schema = T.StructType([*(T.StructField(h, T.StringType()) for h in header), T.StructField(CORRUPT, T.StringType())])

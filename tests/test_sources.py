@@ -3,9 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.plans import sqlgate
+from loomspark.plans import dialect, sqlgate
 from loomspark.plans.grammar import Field
-from loomspark.sources import files, records as r
+from loomspark.session import pool, ship
+from loomspark.sources import files, history, records as r
 
 
 def kinds(spark, values):
@@ -39,6 +40,67 @@ def test_csv(spark, tmp_path):
         r.read_csv(spark, str(tmp_path))
 
 
+def test_csv_header_is_parsed_as_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\n"last, first","a ""b""",c\r\n"x, y",1,2\n', encoding="utf-8")
+    rows, bad = r.read_csv(spark, str(tmp_path))
+    assert rows.columns[:3] == ["last, first", 'a "b"', "c"]
+    assert [tuple(x)[:3] for x in rows.collect()] == [("x, y", "1", "2")] and not bad.collect()
+
+
+def test_record_types(spark):
+    df = spark.createDataFrame([("records/spend/2024.csv",), ("records/spend/x/2.csv",), ("records/w/1.csv",), ("notes/a.md",)], "rel_path string")
+    assert [(x.type, x.files) for x in r.record_types(df).collect()] == [("spend", 2), ("w", 1)]
+
+
+def test_history_and_trace(spark, tmp_path):
+    log = str(tmp_path / "sql")
+    assert history.entries(spark, log, sqlgate.HISTORY).count() == 0
+    for k in range(4):
+        assert sqlgate.run_logged(spark, f"SELECT {k} AS k", log).first().k == k
+    with pytest.raises(sqlgate.SqlError):
+        sqlgate.run_logged(spark, "DROP TABLE x", log)
+    history.trim(spark, log, sqlgate.HISTORY, 2)
+    assert [x.query for x in history.entries(spark, log, sqlgate.HISTORY).collect()] == ["SELECT 3 AS k", "SELECT 2 AS k"]
+    runs = str(tmp_path / "runs")
+    assert history.last_run(spark, runs, "run long") == 0
+    history.append(spark, runs, run=3)
+    history.append(spark, runs, run=2)
+    assert history.last_run(spark, runs, "run long") == 3
+    df = spark.range(5).select(F.col("id").alias("k"))
+    out = str(tmp_path / "trace")
+    assert not history.trace(df, out, on=False, query="q") and not os.path.exists(out)
+    assert history.trace(df, out, most=2, on=True, query="q")
+    assert [len(x.results) for x in spark.read.json(out).collect()] == [2]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("select iif(a, 'iif(x)', \"min(b, c)\") -- total(x)", "select if(a, 'iif(x)', \"min(b, c)\") -- total(x)"),
+        ("select min(a), min(f(a, b), max(c, d))", "select min(a), if((f(a, b)) IS NULL OR (if((c) IS NULL OR (d) IS NULL, NULL, greatest(c, d))) IS NULL, NULL, least(f(a, b), if((c) IS NULL OR (d) IS NULL, NULL, greatest(c, d))))"),
+        ("select total(x) over (partition by y order by z) + 1", "select coalesce(sum(CAST(x AS DOUBLE)) over (partition by y order by z), 0.0D) + 1"),
+        ("select count(*), now(), (1 + 2) in (1, 2)", "select count(*), now(), (1 + 2) in (1, 2)"),
+        ("select rtrim(a), rtrim(a, 'x') from t /* date(y) */", "select rtrim(a), trim(TRAILING 'x' FROM a) from t /* date(y) */"),
+    ],
+)
+def test_dialect_rewriting(text, want):
+    assert dialect.rewrite(text).replace(",  ", ", ") == want
+
+
+def test_dialect_values(spark):
+    text = "SELECT date('2024-01-31', '+7 days') AS a, date('2024-03-15', 'start of month', '-1 day') AS b, total(x) AS c, date('no date') AS d, min(x, 1) AS e, datetime('2024-01-01 10:00:00', '+2 hours') AS f FROM VALUES (CAST(NULL AS INT)) t(x) GROUP BY x"
+    assert tuple(sqlgate.run_sql(spark, text, dialect=True).first()) == ("2024-02-07", "2024-02-29", 0.0, None, None, "2024-01-01 12:00:00")
+
+
+def test_package_and_pool(spark, tmp_path):
+    import zipfile
+
+    assert "loomspark/plans/store.py" in zipfile.ZipFile(ship(spark, str(tmp_path))).namelist()
+    with pool(spark):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "interactive" and spark.range(3).count() == 3
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
 def test_override_and_labels(spark):
     fields = [Field("a", "enum"), Field("b", "number"), Field("c")]
     got = r.override(fields, '{"fields": {"a": {"type": "file"}, "z": {"type": "id"}, "c": {"type": "odd"}}, "display": ["c", "nope"]}')
