@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, all on DataFrames.
 
-Each step is written to the shared folder. Joins on a node with very many neighbours are plain equi-joins
-whose large side the adaptive planner may split.
+Each step is written to the shared folder. The pairs of a node with very many neighbours meet the node's least
+neighbour in an equi-join whose sides are shuffled for it alone, so the adaptive planner may split the pairs' side.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from loomspark.plans.store import Stored, materialize
 def _toward_min(pairs: DataFrame) -> DataFrame:
     """(u, v) with the least of u and its neighbours in these pairs."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    # another expression than u: the aggregate's shuffle, which cannot be split, is not taken for the join's
+    least = least.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("_u"), "m")
+    return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
