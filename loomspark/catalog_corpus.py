@@ -186,4 +186,24 @@ def _chunk_coverage(s: SparkSession, d: str) -> DataFrame:
 
 _add("chunk_coverage", "SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest, true AS bounded FROM documents WHERE regexp_matches(text, '\\S')", _chunk_coverage)
 _add("chunk_documents", None, lambda s, d: documents.chunk_table(table(s, d, "documents")).select("doc_id", "idx", "n_tokens", F.sha2("text", 256).alias("sha")))
-_add("block_kinds", None, lambda s, d: documents.block_table(table(s, d, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+#: (kind, markdown, modulus): each page gets the blocks whose modulus divides its id.
+_BLOCKS = (("frontmatter", "---\\nk: v\\n---\\n", 4), ("heading", "# Title\\n\\n", 1), ("heading", "Under\\n=====\\n\\n", 6), ("paragraph", "Some words\\nin two lines.\\n\\n", 1), ("list", "- one\\n- two\\n\\n", 2), ("code", "```x\\n# no heading\\n```\\n\\n", 3), ("table", "| a | b |\\n|---|---|\\n| 1 | 2 |\\n\\n", 5), ("rule", "***\\n\\n", 7), ("html", "<div>\\n</div>\\n\\n", 8))
+
+
+def _block_kinds(s: SparkSession, d: str) -> DataFrame:
+    md = F.concat(*(F.when(F.col("page_id") % m == 0, F.lit(text.replace("\\n", "\n"))).otherwise(F.lit("")) for _, text, m in _BLOCKS))
+    got = documents.block_table(table(s, d, "pages").select(F.col("page_id").alias("doc_id"), md.alias("text")))
+    return got.groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("heading_path") == "").alias("above"), F.count_if(F.col("heading_path") == "Under").alias("under"))
+
+
+def _block_sql() -> str:
+    seen, rows = False, []
+    for kind, text, m in _BLOCKS:
+        seen = seen or kind == "heading"
+        second = text.startswith("Under")
+        under = "count(*)" if second else "count(*) FILTER (WHERE page_id % 6 = 0)" if len(rows) > 2 else "0"
+        rows.append(f"SELECT '{kind}' AS kind, {int(kind == 'heading')} AS level, count(*) AS n, {'0' if seen else 'count(*)'} AS above, {under} AS under FROM pages WHERE page_id % {m} = 0")
+    return f"SELECT kind, level::INT AS level, sum(n)::BIGINT AS n, sum(above)::BIGINT AS above, sum(under)::BIGINT AS under FROM ({' UNION ALL '.join(rows)}) GROUP BY kind, level HAVING sum(n) > 0"
+
+
+_add("block_kinds", _block_sql(), _block_kinds)
