@@ -62,6 +62,10 @@ def _count_phrase(column: str, phrase: tuple[str, ...]) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(first) - 1, F.lit(0))), same))
 
 
+def _less(n: int):  # noqa: ANN202  a lambda with a second argument would be given each place's index
+    return lambda x: x - n
+
+
 def _all(parts: list[Column]) -> Column:
     out = parts[0]
     for p in parts[1:]:
@@ -131,7 +135,7 @@ class KeywordIndex:
             at = [F.coalesce(F.try_element_at("_m", F.lit(t))[j], F.expr("cast(array() as array<int>)")) for t in phrase]
             both = at[0]
             for step, other in enumerate(at[1:], 1):
-                both = F.array_intersect(both, F.transform(other, lambda x, n=step: x - n))
+                both = F.array_intersect(both, F.transform(other, _less(step)))
             return F.size(both)
 
         parts = [count(p, j).alias(f"_c{i}_{j}") for i, p in enumerate(q.phrases) for j in range(len(self.columns))]
