@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,14 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return the memory that freed arrays leave with the allocators; a driver would keep it for all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, rows: int = 512) -> DataFrame:
     """Apply ``fn``, which makes a column dictionary of a small Arrow batch, to every batch of ``df``."""
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema

@@ -38,7 +38,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.llm.batches import map_columns
+from loomspark.llm.batches import give_back, map_columns
 from loomspark.session import table
 
 FOLDS = 5
@@ -49,6 +49,8 @@ PRIOR_WEIGHT = 0.5
 DENSE = 25
 AT_ONCE = 256  # texts that are searched together
 KNOWN_WORDS = 400_000  # words whose term a task remembers
+POSTINGS = 1 << 19  # of rare terms that are added up together
+PIECE = 1 << 18  # hashes that are numbered together
 HEAD = 256  # frequent terms by which examples are ordered
 UNIT = 1_000_000_000  # similarities are compared in billionths
 NONE = -(1 << 62)
@@ -81,7 +83,7 @@ class Vectors:
 
     def some(self, a: int, b: int) -> Vectors:
         x, y = self.ptr[a], self.ptr[b]
-        return Vectors(self.ptr[a : b + 1] - x, self.terms[x:y], self.weights[x:y])
+        return Vectors(self.ptr[a : b + 1] - x, self.terms[x:y], self.weights[x:y].astype(float, copy=False))
 
 
 class BlockMaxIndex:
@@ -120,7 +122,7 @@ class BlockMaxIndex:
         """The vectors of the examples."""
         order = np.argsort(self.example, kind="stable")
         term = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))[order]
-        return Vectors(np.searchsorted(self.example[order], np.arange(self.n + 1)), term, self.weight[order].astype(float))
+        return Vectors(np.searchsorted(self.example[order], np.arange(self.n + 1)), term, self.weight[order])
 
     @classmethod
     def build(cls, rows: Vectors, terms: int) -> BlockMaxIndex:
@@ -152,12 +154,15 @@ class BlockMaxIndex:
         often, rare = np.flatnonzero(dense >= 0), np.flatnonzero(dense < 0)
         weights = np.zeros((m, len(self.maxima)))
         weights[of_query[often], dense[often]] = q.weights[often]
-        width, few = self.blocks * BLOCK, []
-        for a in range(0, m, 32):  # few enough to stay in the cache
-            own = rare[slice(*np.searchsorted(of_query[rare], (a, a + 32)))]
+        width, few, a = self.blocks * BLOCK, np.empty((m, self.blocks, BLOCK)), 0
+        postings = np.bincount(of_query[rare], self.ptr[q.terms[rare] + 1] - self.ptr[q.terms[rare]], m)
+        before = np.concatenate(([0], np.cumsum(postings)))
+        while a < m:  # few enough to stay in the cache, and of long texts fewer
+            b = max(a + 1, min(a + 32, int(np.searchsorted(before, before[a] + POSTINGS, "right")) - 1))
+            own = rare[slice(*np.searchsorted(of_query[rare], (a, b)))]
             at, of = _ranges(self.ptr[q.terms[own]], self.ptr[q.terms[own] + 1])
-            few.append(np.bincount(((of_query[own] - a) * width)[of] + self.example[at], q.weights[own][of] * self.weight[at], min(32, m - a) * width))
-        few = np.concatenate(few).reshape(m, self.blocks, BLOCK)
+            few[a:b] = np.bincount(((of_query[own] - a) * width)[of] + self.example[at], q.weights[own][of] * self.weight[at], (b - a) * width).reshape(b - a, self.blocks, BLOCK)
+            a = b
         bound = weights @ self.maxima + few.max(2)
         level = np.floor(np.minimum(bound, 1.001) * UNIT + 0.500001).astype(np.int64)  # no similarity is over 1
         reach = np.where(bound > 0, (level << 32) - np.arange(self.blocks) * BLOCK, NONE)  # the most that a block can give
@@ -293,29 +298,42 @@ def counted(texts: Sequence[str | None]) -> tuple[list[bytes], list[bytes]]:
     return [np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in c), U, len(c)).tobytes() for c in words], [np.fromiter(c.values(), np.uint32, len(c)).tobytes() for c in words]
 
 
-def fit(ids: list, hashes: list[bytes], counts: list[bytes], labels: Sequence[int]) -> Model:
-    """The model of labelled examples, before calibration."""
-    y = np.array(labels, float)
+def _numbered(hashes: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the place there of every hash of the rows, one row after the other."""
+    flat = np.frombuffer(b"".join(hashes), U)
+    names, terms = np.unique(flat), np.empty(len(flat), np.int32)
+    for a in range(0, len(flat), PIECE):
+        terms[a : a + PIECE] = np.searchsorted(names, flat[a : a + PIECE])
+    return names, terms
+
+
+def fit(ids: list, hashes: Sequence, counts: Sequence, labels: Sequence[int]) -> Model:
+    """The model of labelled examples, before calibration; ``hashes`` and ``counts`` as bytes or buffers of them."""
+    sizes = np.array([len(h) // 8 for h in hashes], np.int64)
+    return _fit(ids, np.array(labels, float), sizes, *_numbered(hashes), np.frombuffer(b"".join(counts), np.uint32).astype(np.float32))
+
+
+def _fit(ids: list, y: np.ndarray, sizes: np.ndarray, names: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> Model:
     n, pos = len(y), float(y.sum())
     model = Model(prior=(pos + 0.5) / (n + 1))
     if not 0 < pos < n:
         return model
-    sizes = np.array([len(h) // 8 for h in hashes])
-    flat = np.frombuffer(b"".join(hashes), U)
-    names = np.unique(flat)
-    terms = np.searchsorted(names, flat).astype(np.int32)
-    del flat
-    tf = np.frombuffer(b"".join(counts), np.uint32).astype(np.float32)
     df = np.bincount(terms, minlength=len(names))
     both = np.bincount(terms[np.repeat(y > 0, sizes)], minlength=len(names))
     spread = df * (n - df) * (pos * (n - pos))
     phi = np.abs(n * both - df * pos) / np.sqrt(np.maximum(spread, 1))  # 0 for a term of every example
     idf = ((np.log((1 + n) / (1 + df)) + 1) * phi).astype(np.float32)
-    rows = weighted(sizes, terms, tf, idf)
-    del terms, tf
+    del both, spread, phi
+    ptr, parts = np.concatenate(([0], np.cumsum(sizes))), []
+    for a in range(0, n, AT_ONCE):  # so that what is made on the way stays small
+        own = slice(ptr[a], ptr[min(n, a + AT_ONCE)])
+        parts.append(weighted(sizes[a : a + AT_ONCE], terms[own], tf[own], idf))
+    del tf
+    rows = Vectors(np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p.ptr) for p in parts])))), np.concatenate([p.terms for p in parts]), np.concatenate([p.weights for p in parts]))
+    del terms, parts
     order = _by_likeness(rows, df)
-    at, _ = _ranges(rows.ptr[order], rows.ptr[order + 1])
-    rows = Vectors(np.concatenate(([0], np.cumsum(np.diff(rows.ptr)[order]))), rows.terms[at], rows.weights[at])
+    at = [slice(rows.ptr[i], rows.ptr[i + 1]) for i in order]
+    rows = Vectors(np.concatenate(([0], np.cumsum(np.diff(rows.ptr)[order]))), np.concatenate([rows.terms[x] for x in at]), np.concatenate([rows.weights[x] for x in at]))
     del at
     model.ids, model.labels = [ids[i] for i in order], y[order]
     model.shared = Lexicon(names, idf, BlockMaxIndex.build(rows, len(names)))
@@ -328,12 +346,14 @@ def _by_likeness(rows: Vectors, df: np.ndarray) -> np.ndarray:
     Spherical k-means from evenly spaced examples; it changes how many blocks are visited, not what is found.
     """
     n, often = len(rows), np.sort(np.argsort(-df, kind="stable")[:HEAD])
-    place = np.full(len(df), -1)
+    place = np.full(len(df), -1, np.int16)
     place[often] = np.arange(len(often))
     at = np.flatnonzero(place[rows.terms] >= 0)
     x = np.zeros((n, len(often)))
-    x[np.repeat(np.arange(n), np.diff(rows.ptr))[at], place[rows.terms[at]]] = rows.weights[at]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x[np.repeat(np.arange(n, dtype=np.int32), np.diff(rows.ptr))[at], place[rows.terms[at]]] = rows.weights[at]
+    del at
+    for a in range(0, n, BLOCK):
+        x[a : a + BLOCK] /= np.maximum(np.linalg.norm(x[a : a + BLOCK], axis=1, keepdims=True), 1e-12)
     groups = max(1, n // BLOCK)
     centre = x[np.linspace(0, n - 1, groups).astype(int)]
     for _ in range(10):
@@ -342,7 +362,7 @@ def _by_likeness(rows: Vectors, df: np.ndarray) -> np.ndarray:
         np.add.at(sums, near, x)
         centre = np.where(np.bincount(near, minlength=groups)[:, None] > 0, sums, centre)
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    like = (x * centre[near]).sum(1)
+    like = np.concatenate([(x[a : a + BLOCK] * centre[near[a : a + BLOCK]]).sum(1) for a in range(0, n, BLOCK)])
     # clusters in a chain of likeness
     chain, left = [0], set(range(1, groups))
     while left:
@@ -365,11 +385,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "hashes": hashes, "counts": counts}
 
     got = map_columns(rows.select("doc_id", "text", F.col("toxic").cast("long")), count, "doc_id long, toxic long, hashes binary, counts binary").toArrow()
-    got = got.take(np.argsort(got["doc_id"].to_numpy()))
-    model = fit(got["doc_id"].to_pylist(), got["hashes"].to_pylist(), got["counts"].to_pylist(), [int(x > 0) for x in got["toxic"].to_pylist()])
-    del got
+    order = np.argsort(got["doc_id"].to_numpy())
+    ids, y = got["doc_id"].to_numpy()[order].tolist(), (got["toxic"].to_numpy()[order] > 0).astype(float)
+    rows = [x.as_buffer() for x in got["hashes"]]  # not copied
+    rows = [rows[i] for i in order]
+    sizes = np.array([len(h) // 8 for h in rows], np.int64)
+    names, terms = _numbered(rows)
+    rows = [x.as_buffer() for x in got["counts"]]
+    tf = np.frombuffer(b"".join([rows[i] for i in order]), np.uint32).astype(np.float32)
+    del got, rows
+    model = _fit(ids, y, sizes, names, terms, tf)
+    del names, terms, tf
     if model.shared is not None:
         model.shared = docs.sparkSession.sparkContext.broadcast(model.shared)
+        give_back()
         calibrate(model, docs.sparkSession)
     return model
 

@@ -1,7 +1,11 @@
 import random
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from loomspark.llm import toxicity as t
 
 
@@ -154,3 +158,47 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, 1, None), (None, 1, 1), (2, 1, 0), (2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     assert t.score_documents(docs, t.learn(docs, odd)).count() == 5
     assert t.score_documents(docs.limit(0), t.learn(docs, odd)).count() == 0
+
+
+def test_fit_needs_little_memory_beside_its_input():
+    r = np.random.default_rng(1)
+    hashes = [np.unique((r.zipf(1.3, 400) % 200_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tobytes() for _ in range(6000)]
+    counts = [r.integers(1, 4, len(h) // 8).astype(np.uint32).tobytes() for h in hashes]
+    labels = [int(r.random() < 0.3) for _ in hashes]
+    tracemalloc.start()
+    try:
+        t.fit(list(range(6000)), hashes, counts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3.5 * sum(map(len, hashes + counts))
+
+
+def test_learning_leaves_no_memory_with_the_driver(spark):
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    words = F.expr("array_join(transform(sequence(1, 700), i -> concat('w', translate(cast(pmod(xxhash64(id, i), 300000) as string), '0123456789', 'abcdefghij'))), ' ')")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    t.learn(docs.limit(50), labels)
+    before = held()
+    model = t.learn(docs, labels)
+    assert len(model.ids) > 3000 and held() - before < 25
+
+
+def test_long_texts_are_searched_in_little_memory():
+    r = np.random.default_rng(2)
+    terms = np.concatenate([np.sort(r.choice(3000, 100, replace=False)) for _ in range(6000)])
+    index = t.BlockMaxIndex.build(t.Vectors(np.arange(6001) * 100, terms, np.full(len(terms), 0.1)), 3000)
+    assert (index.row < 0).mean() > 0.9
+    q = t.Vectors(np.arange(41) * 3000, np.tile(np.arange(3000), 40), r.random(40 * 3000) / 32)
+    alone = [index.nearest(q.some(i, i + 1))[0] for i in range(40)]
+    tracemalloc.start()
+    try:
+        got = index.nearest(q)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == alone and len(got[0]) == 15
+    assert peak < 100e6
