@@ -78,12 +78,55 @@ def _once(df: DataFrame, keep: list[Column], made: list[Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
+#: Tokens whose postings a task groups at once, and rows above which a term's groups are dealt to several partitions.
+GROUP, SPLIT = 1 << 22, 512
+
+
+def _ordered(slot):  # noqa: ANN001, ANN202  a stable order; of 16 bits numpy's is a radix sort
+    import numpy as np
+
+    order = np.argsort((slot & 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
+    high = (slot >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def _grouped(keys, counts: list[int], tokens, width: int):  # noqa: ANN001, ANN202
+    """Arrow batches of the postings of a group of rows: one row for each term and column, and one of the rows themselves.
+
+    ``tokens`` are those of all rows in order, column by column; ``counts`` has their number in each.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names, sizes = ["term", "col", "keys", "lens", "at"], np.array(counts, np.int32)
+    lens = pa.array(sizes.reshape(-1, width).sum(1), pa.int32())
+    lists, empty = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array([[]], pa.list_(pa.list_(pa.int32())))
+    yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([0], pa.int32()), lists([0, len(keys)], keys), lists([0, len(keys)], lens), empty], names=names)
+    if not (total := len(tokens)):
+        return
+    met = tokens.dictionary_encode().combine_chunks()
+    met = met.chunk(0) if isinstance(met, pa.ChunkedArray) else met
+    own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    slot = met.indices.to_numpy().astype(np.uint32) * np.uint32(width) + (own % width).astype(np.uint32)
+    order = _ordered(slot)
+    slot, own = slot[order], own[order]
+    place = order - (np.cumsum(sizes) - sizes).astype(np.int32)[own]
+    runs = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (own[1:] != own[:-1])])
+    slot, row = slot[runs], pa.array(own[runs] // width)
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    slot, offsets = slot[first], np.r_[first, len(runs)]
+    at = lists(np.r_[runs, total], pa.array(place, pa.int32()))
+    columns = [met.dictionary.take(pa.array(slot // width)), pa.array(slot % width, pa.int32()), *(lists(offsets, v) for v in (keys.take(row), lens.take(row), at))]
+    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
-    """A table's postings: a row for each term and key with the term's places in each column and the row's length.
+    """A table's postings: for each term and column, groups of keys with the term's places and the length of the key's row.
 
-    They are written sorted by term, so a filter on a few terms reads a few row groups. Rows with an empty term
-    stand for the table's rows themselves; their number and mean length are kept.
+    A task groups what it reads, so there are far fewer rows than pairs of a term and a key. They are dealt by term,
+    those of a frequent one to several partitions, and written sorted by term, so a filter on a few terms reads a few
+    pages. Groups with an empty term stand for the table's rows themselves; their number and mean length are kept.
     """
 
     postings: DataFrame
@@ -99,40 +142,41 @@ class KeywordIndex:
         from loomspark.plans.store import materialize
 
         kind, names = dict(chunks.dtypes)[key], list(columns)
-        places = pa.list_(pa.list_(pa.int32()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, counts, parts, held = [], [], [], 0
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    piece = batch.slice(at, 256)
-                    texts, terms, row, found, sizes = [piece.column(c).to_pylist() for c in names], [], [], [], []
-                    for i in range(piece.num_rows):
-                        own: dict[str, list[list[int]]] = {"": [[] for _ in names]}
-                        size = 0
-                        for j, column in enumerate(texts):
-                            for p, t in enumerate(token_list(column[i])):
-                                if (held := own.get(t)) is None:
-                                    held = own[t] = [[] for _ in names]
-                                held[j].append(p)
-                                size += 1
-                        terms += own
-                        found += own.values()
-                        row += [i] * len(own)
-                        sizes += [size] * len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), piece.column(key).take(pa.array(row, pa.int32())), pa.array(sizes, pa.int32()), pa.array(found, places)], names=["term", key, "len", "at"])
-
-        made = chunks.select(key, *names).mapInArrow(run, f"term string, `{key}` {kind}, len int, at array<array<int>>")
-        stored = materialize(made.repartitionByRange("term", key).sortWithinPartitions("term", key), "postings").df
-        rows, mean = stored.where("term = ''").agg(F.count(F.lit(1)), F.avg("len")).first()
+                for at in range(0, batch.num_rows, 64):
+                    piece, flat = batch.slice(at, 64), []
+                    for row in zip(*(piece.column(c).to_pylist() for c in names)):
+                        for text in row:
+                            found = token_list(text)
+                            counts.append(len(found))
+                            flat += found
+                    keys.append(piece.column(key))
+                    parts.append(pa.array(flat, pa.string()))
+                    held += len(flat)
+                    if held >= GROUP:
+                        yield from _grouped(pa.concat_arrays(keys), counts, pa.chunked_array(parts), len(names))
+                        keys, counts, parts, held = [], [], [], 0
+            if keys:
+                yield from _grouped(pa.concat_arrays(keys), counts, pa.chunked_array(parts), len(names))
+
+        made = chunks.select(key, *names).mapInArrow(run, f"term string, col int, keys array<{kind}>, lens array<int>, at array<array<int>>")
+        # by hash: to find ranges, Spark would read and tokenise the whole table once more
+        dealt = made.repartition("term", F.when(F.size("keys") > SPLIT, F.xxhash64(F.get("keys", F.lit(0)))))
+        stored = materialize(dealt.sortWithinPartitions("term"), "postings").df
+        rows, mean = stored.where("term = ''").select(F.explode("lens").alias("len")).agg(F.count(F.lit(1)), F.avg("len")).first()
         return cls(stored, key, tuple(names), rows, mean or 0.0)
 
     def counted(self, q: KeywordQuery) -> DataFrame:
         """key, _len and the number of each phrase in each column, of the rows that hold a term of the query."""
         wanted = sorted({t for p in q.phrases for t in p})
-        met = self.postings.where(F.col("term").isin(wanted)).groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("_m"), F.first("len").alias("_len"))
+        found = self.postings.where(F.col("term").isin(wanted)).select(F.concat_ws(" ", "col", "term").alias("_of"), F.inline(F.arrays_zip("keys", "lens", "at")).alias(self.key, "_len", "_at"))
+        met = found.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("_of", "_at"))).alias("_m"), F.first("_len").alias("_len"))
 
         def count(phrase: tuple[str, ...], j: int) -> Column:
-            at = [F.coalesce(F.try_element_at("_m", F.lit(t))[j], F.expr("cast(array() as array<int>)")) for t in phrase]
+            at = [F.coalesce(F.try_element_at("_m", F.lit(f"{j} {t}")), F.expr("cast(array() as array<int>)")) for t in phrase]
             both = at[0]
             for step, other in enumerate(at[1:], 1):
                 both = F.array_intersect(both, F.transform(other, _less(step)))

@@ -51,3 +51,25 @@ def test_nearest_in_group_is_the_best_pair(spark):
             c, j = max(near)
             want[k] = (-j, c)
     assert got == want
+
+
+def test_index_tokenises_the_table_once_and_groups_keys(spark, monkeypatch):
+    seen, df = spark.sparkContext.accumulator(0), rows_of(spark)
+
+    def told(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    columns = {"text": 1.0, "head": 0.5}
+    index = r.KeywordIndex.build(df.select("id", "text", "head").mapInPandas(told, "id long, text string, head string"), "id", list(columns))
+    assert seen.value == 121 == index.rows
+    assert index.postings.count() < 121 * 2
+    monkeypatch.setattr(r, "GROUP", 300)
+    monkeypatch.setattr(r, "SPLIT", 3)
+    small = r.KeywordIndex.build(df.repartition(1), "id", list(columns))
+    assert small.postings.where("term = ''").count() > 1 and (small.rows, small.mean) == (index.rows, index.mean)
+    for query in ("alpha beta", "gamma-delta 日本", "äpfel don't"):
+        assert r.bm25(df, query, "id", columns, None, 200, small).collect() == r.bm25(df, query, "id", columns, None, 200, index).collect()
+    none = r.KeywordIndex.build(df.where("id < 0"), "id", ["text"])
+    assert none.rows == 0 and r.bm25(df, "alpha", "id", {"text": 1.0}, None, 5, none).collect() == []
