@@ -40,12 +40,21 @@ def orphan(docs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def not_in_index(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """Documents that the index.md beside them does not link."""
-    own = docs.select("doc_id", "rel_path", F.concat(dirname(F.col("rel_path")), F.lit("index.md")).alias("_index"))
-    index = docs.select(F.col("doc_id").alias("_index_id"), F.col("rel_path").alias("_index"))
-    asked = own.join(index, "_index").where("doc_id <> _index_id")
-    there = links.select(F.col("doc_id").alias("_index_id"), F.col("target_doc_id").alias("doc_id")).distinct()
-    return finding("not_in_index", asked.join(there, ["_index_id", "doc_id"], "left_anti"), F.col("rel_path"), F.col("rel_path"), F.col("_index"))
+    """Documents that the index.md beside them does not link, once for each document at that path which does not.
+
+    Where documents share a path, the result grows with their product. The pairs are counted, not joined: all documents
+    at the index's path, less the document itself and those that link it. Only the result has a row for each.
+    """
+    beside = F.concat(dirname(F.col("rel_path")), F.lit("index.md"))
+    own = docs.where("doc_id is not null").select("doc_id", "rel_path", beside.alias("_index"))
+    index = docs.where((F.col("rel_path") == beside) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_index_id"), F.col("rel_path").alias("_index"))
+    there = links.select(F.col("doc_id").alias("_index_id"), F.col("target_doc_id").alias("doc_id")).union(index.select("_index_id", "_index_id")).distinct()
+    done = there.join(index, "_index_id").groupBy("doc_id", "_index").agg(F.count(F.lit(1)).alias("_done"))
+    asked = own.join(index.groupBy("_index").agg(F.count(F.lit(1)).alias("_all")), "_index").join(done, ["doc_id", "_index"], "left")
+    left = asked.withColumn("_left", (F.col("_all") - F.coalesce("_done", F.lit(0))).cast("int")).where("_left > 0")
+    # few bytes become many rows, so they are dealt out by number; adaptive execution would put them into one task
+    dealt = left.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("rel_path", "_index", F.explode(F.sequence(F.lit(1), "_left")))
+    return finding("not_in_index", dealt, F.col("rel_path"), F.col("rel_path"), F.col("_index"))
 
 
 def fragment(docs: DataFrame, chunks: DataFrame, most: int = FRAGMENT) -> DataFrame:
