@@ -1,5 +1,6 @@
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,28 @@ def test_counter_and_embedder(spark):
     assert got == {1: [24.0, 1.0], 2: None}
 
 
+def test_tables_are_made_in_pieces_of_a_batch():
+    class Held:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [None, "", *(f"# T{i}\n\n" + "some words é\n\n" * 20_000 for i in range(12)), " ", "last"]
+    run, seen = d.chunk_table(Held(), overlap=0, count=lambda t: seen.append(1) or d.count_tokens(t)), []
+    made = run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})]))
+    first = next(made)
+    assert len(set(first["doc_id"].to_pylist())) == 4  # the least that reach 2 ** 20 characters
+    began = len(seen)
+    rows = [r for b in [first, *made] for r in b.to_pylist()]
+    assert len(seen) > 2 * began
+    want = [(i, n, *c) for i, t in enumerate(texts) for n, c in enumerate(d.chunks(t or "", overlap=0))]
+    assert [tuple(r.values()) for r in rows] == want
+
+
 def test_python_tokens_are_the_columns_tokens(spark):
     texts = ["Plain Words, and-more_x 12", "日本語 text 漢", "é" * 40 + " ÀB", "a" * 70, "ア" * 5 + "b" * 65 + "한국어", "", "한 x", "ß\x00y\u200bz", "日" * 40]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
